@@ -1,9 +1,8 @@
 """Exact quantiles without collecting a column in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here the value of
-a given rank is found digit by digit: a histogram of the top 16 bits says which bucket
-holds the rank, then the next 16 bits inside that bucket, four times. No step keeps
-more than 65,536 counts per rank sought, however many rows or distinct values there are.
+``percentile`` keeps every distinct value of a group in one buffer. Here equal values are
+counted first, the distinct values are cut into slices, and only the slices that hold the
+ranks sought are sorted.
 """
 
 from __future__ import annotations
@@ -14,80 +13,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_SIGN = -(1 << 63)
-_SHIFTS = (48, 32, 16, 0)
+from ratewright.functions.ranking import in_slices
+
+VALUE_SLICES = 256
+_GROUP = "column_name"
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value) rows of whole-number columns, NULLs left out."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("value")) for c in columns]
+        *[
+            F.struct(F.lit(c).alias(_GROUP), F.col(c).cast("bigint").alias("value"))
+            for c in columns
+        ]
     )
     return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    values: DataFrame, probabilities: Sequence[float], slices: int = VALUE_SLICES
+) -> DataFrame:
     """Linearly interpolated quantiles of (column_name, value): one row per column and p.
 
     Output: column_name, p, quantile.
     """
-    counted = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counted.select(
-        "column_name", "n", F.col("value").bitwiseXOR(F.lit(_SIGN)).alias("u")
+    counted = values.groupBy(_GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.groupBy(_GROUP).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")
     )
+    step = F.greatest(F.floor(F.col("distinct") / slices), F.lit(1)).alias("_step")
+    sliced = in_slices(counted, [_GROUP], "value", sizes.select(_GROUP, step)).drop("_cut")
+
+    # Places counted from the greatest value down, as slices are.
     position = (F.col("rows") - 1) * F.col("p")
+    low, high = F.floor("position").cast("bigint"), F.ceil("position").cast("bigint")
     sought = (
-        counted.groupBy("column_name")
-        .agg(F.sum("n").alias("rows"))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("position", position)
-        .select(
-            "column_name",
-            "p",
-            "position",
-            F.explode(
-                F.array_distinct(
-                    F.array(F.floor("position").cast("bigint"), F.ceil("position").cast("bigint"))
-                )
-            ).alias("place"),
-        )
-        .select("*", F.col("place").alias("left"), F.lit(0).cast("bigint").alias("found"))
+        .withColumn("place", F.explode(F.array_distinct(F.array(low, high))))
+        .select(_GROUP, "p", "position", "place", (F.col("rows") - 1 - F.col("place")).alias("down"))
+    )
+    upto = W.partitionBy(_GROUP).orderBy("_slice")
+    totals = (
+        sliced.groupBy(_GROUP, "_slice")
+        .agg(F.sum("n").alias("held"), F.min("value").alias("least"), F.max("value").alias("most"))
+        .withColumn("before", F.sum("held").over(upto) - F.col("held"))
     )
-    for shift in _SHIFTS:
-        sought = _next_digit(keyed, sought, shift)
+    holds = (F.col("before") <= F.col("down")) & (F.col("down") < F.col("before") + F.col("held"))
+    chosen = totals.join(F.broadcast(sought), _GROUP).filter(holds).drop("held")
 
-    ends = sought.withColumn("value", F.col("found").bitwiseXOR(F.lit(_SIGN)))
-    low, high = F.min_by("value", "place"), F.max_by("value", "place")
+    running = W.partitionBy(_GROUP, "p", "place").orderBy(F.col("value").desc())
+    found = (
+        counted.join(F.broadcast(chosen), _GROUP)
+        .filter(F.col("value").between(F.col("least"), F.col("most")))
+        .withColumn("upto", F.col("before") + F.sum("n").over(running))
+        .filter((F.col("down") < F.col("upto")) & (F.col("down") >= F.col("upto") - F.col("n")))
+    )
     fraction = F.col("position") - F.floor("position")
     return (
-        ends.groupBy("column_name", "p", "position")
-        .agg(low.alias("low"), high.alias("high"))
+        found.groupBy(_GROUP, "p", "position")
+        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
         .select(
-            "column_name",
+            _GROUP,
             "p",
             (F.col("low") + (F.col("high") - F.col("low")) * fraction).alias("quantile"),
         )
     )
-
-
-def _next_digit(keyed: DataFrame, sought: DataFrame, shift: int) -> DataFrame:
-    """Extend the bits ``found`` of every rank sought by the 16 bits at ``shift``."""
-    target = ["column_name", "p", "position", "place"]
-    digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(0xFFFF))
-    if shift == _SHIFTS[0]:
-        hits = keyed.join(F.broadcast(sought), "column_name")
-    else:
-        known = keyed.withColumn("found", F.shiftrightunsigned("u", shift + 16))
-        hits = known.join(F.broadcast(sought), ["column_name", "found"])
-    running = W.partitionBy(*target).orderBy("digit")
-    return (
-        hits.groupBy(*target, "left", "found", digit.alias("digit"))
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(running))
-        .filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
-        .select(
-            *target,
-            (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"),
-            F.shiftleft("found", 16).bitwiseOR(F.col("digit")).alias("found"),
-        )
-    )

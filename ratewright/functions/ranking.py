@@ -48,40 +48,43 @@ def _matches(keys: Sequence[str]) -> Column:
     return condition
 
 
-def _cut_points(
-    df: DataFrame, keys: Sequence[str], position: Column, large: DataFrame
-) -> DataFrame:
-    """Sort positions that cut each large group, newest first, in chunks for two-step search.
+def in_slices(df: DataFrame, keys: Sequence[str], position: str, steps: DataFrame) -> DataFrame:
+    """Add ``_slice``: 0 for the greatest positions of a group, then 1, and so on.
 
-    A position is a cut when its hash says so, about one in ``_step``: over all groups
-    about ``slices`` cuts. The choice depends on values alone, so a task that is run
-    again finds the same cuts.
+    ``steps`` names the groups to cut (keys and ``_step``, about how many rows apart); rows
+    of other groups are in slice 0 with ``_cut`` false. A position is a cut when its hash
+    says so, one in ``_step``. That depends on values alone, so a task that runs again
+    finds the same slices. All cuts of all groups are about rows / step, a fixed number.
     """
-    chosen = (
-        df.join(F.broadcast(_prefixed(large, keys)), _matches(keys))
+    cuts = (
+        df.select(*keys, position)
+        .join(F.broadcast(_prefixed(steps, keys)), _matches(keys))
         .filter(F.pmod(F.xxhash64(position), F.col("_step")) == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set(position), asc=False).alias("_cuts"))
     )
+    # Chunks of about the square root of the cuts: find the chunk, then the place in it.
     width = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
-    return chosen.withColumn("_width", width).withColumn(
-        "_chunks",
+    last = F.ceil(F.size("_cuts") / F.col("_width")).cast("int") - 1
+    chunked = cuts.withColumn("_width", width).select(
+        *keys,
+        "_width",
         F.transform(
-            F.sequence(F.lit(0), F.ceil(F.size("_cuts") / F.col("_width")).cast("int") - 1),
+            F.sequence(F.lit(0), last),
             lambda i: F.slice("_cuts", i * F.col("_width") + 1, F.col("_width")),
-        ),
-    ).select(*keys, "_chunks", "_width")
-
-
-def _slice_number(position: Column) -> Column:
-    """How many cuts lie ahead of the row: whole chunks first, then inside one chunk."""
-    chunks_before = F.size(F.filter("_chunks", lambda c: F.element_at(c, -1) > position))
-    chunk = F.try_element_at("_chunks", chunks_before + 1)
-    inside = F.coalesce(F.size(F.filter(chunk, lambda c: c > position)), F.lit(0))
-    return F.when(
-        F.col("_chunks").isNotNull(),
-        chunks_before * F.col("_width") + F.when(chunk.isNotNull(), inside).otherwise(0),
-    ).otherwise(0)
+        ).alias("_chunks"),
+    )
+    passed = F.size(F.filter("_chunks", lambda chunk: F.element_at(chunk, -1) > F.col(position)))
+    within = F.size(F.filter("_chunk", lambda cut: cut > F.col(position)))
+    number = F.col("_passed") * F.col("_width") + F.coalesce(within, F.lit(0))
+    return (
+        df.join(F.broadcast(_prefixed(chunked, keys)), _matches(keys), "left")
+        .withColumn("_cut", F.col("_width").isNotNull())
+        .withColumn("_passed", F.when(F.col("_cut"), passed))
+        .withColumn("_chunk", F.try_element_at("_chunks", F.col("_passed") + 1))
+        .withColumn("_slice", F.when(F.col("_cut"), number).otherwise(0))
+        .select(*df.columns, "_cut", "_slice")
+    )
 
 
 def numbered_in_group(
@@ -96,33 +99,21 @@ def numbered_in_group(
 
     NULL sorts last. Give enough columns for a total order.
     """
-    columns = list(df.columns)
-    placed = df.withColumn("_at", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(newest_first)]))
-    large = large_groups(df, keys, slices, floor)
-    cuts = _cut_points(placed.select(*keys, "_at"), keys, F.col("_at"), large)
-    sliced = placed.join(F.broadcast(_prefixed(cuts, keys)), _matches(keys), "left").withColumn(
-        "_slice", _slice_number(F.col("_at"))
-    )
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(newest_first)])
+    sliced = in_slices(df.withColumn("_at", at), keys, "_at", large_groups(df, keys, slices, floor))
 
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sliced.filter(F.col("_chunks").isNotNull())
+        sliced.filter("_cut")
         .groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-        .withColumnRenamed("_slice", "_k__slice")
+        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(F.col("_at").desc())
-    ranked = (
-        sliced.select(*columns, "_at", "_slice")
-        .withColumn("_place", F.row_number().over(inside).cast("bigint"))
-        .join(
-            F.broadcast(_prefixed(offsets, keys)), _matches([*keys, "_slice"]), "left"
-        )
-    )
-    return ranked.select(
-        *columns, (F.col("_place") + F.coalesce(F.col("_ahead"), F.lit(0))).alias(name)
+    placed = sliced.withColumn("_place", F.row_number().over(inside).cast("bigint"))
+    every = [*keys, "_slice"]
+    return placed.join(F.broadcast(_prefixed(offsets, every)), _matches(every), "left").select(
+        *df.columns, (F.col("_place") + F.coalesce("_ahead", F.lit(0))).alias(name)
     )
 
 
@@ -139,7 +130,9 @@ def rows_having_key(
     the rest is shuffled.
     """
     large = large_groups(df, keys, slices, floor).select(*keys).dropna()
-    heavy = df.join(F.broadcast(large.join(wanted, list(keys), "left_semi")), list(keys), "left_semi")
+    heavy = df.join(
+        F.broadcast(large.join(wanted, list(keys), "left_semi")), list(keys), "left_semi"
+    )
     light = df.join(F.broadcast(large), list(keys), "left_anti").join(
         wanted, list(keys), "left_semi"
     )
