@@ -109,7 +109,9 @@ def numbered_in_group(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     )
-    inside = W.partitionBy(*keys, "_slice").orderBy(F.col("_at").desc())
+    inside = W.partitionBy(*keys, "_slice").orderBy(
+        *[F.col(f"_at.o{i}").desc_nulls_last() for i in range(len(newest_first))]
+    )
     placed = sliced.withColumn("_place", F.row_number().over(inside).cast("bigint"))
     every = [*keys, "_slice"]
     return placed.join(F.broadcast(_prefixed(offsets, every)), _matches(every), "left").select(

@@ -26,16 +26,25 @@ class Check:
 
 
 def dq_audit(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """One row per check. A row of the table may fail several; all are counted in one pass."""
-    measures = [F.count(F.lit(1)).alias("rows")]
+    """One row per check. A row of the table may fail several; all are counted in one pass.
+
+    Distinct values are counted by a pass of their own over that column, so that the
+    shuffle they need carries nothing else.
+    """
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(c.fails).alias(f"c{c.number}") for c in checks if c.unique is None],
+    )
     for c in checks:
-        if c.unique is None:
-            measures.append(F.count_if(c.fails).alias(f"c{c.number}"))
-        else:
-            excess = F.count(F.lit(1)) - F.countDistinct(F.col(c.unique))
-            measures.append(excess.alias(f"c{c.number}"))
+        if c.unique is not None:
+            distinct = df.agg(F.countDistinct(F.col(c.unique)).alias("_distinct"))
+            counted = (
+                counted.crossJoin(F.broadcast(distinct))
+                .withColumn(f"c{c.number}", F.col("rows") - F.col("_distinct"))
+                .drop("_distinct")
+            )
     return rows_from(
-        df.agg(*measures),
+        counted,
         [
             {
                 "check_no": F.lit(c.number).cast("bigint"),

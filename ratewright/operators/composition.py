@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ratewright.functions.frames import with_total
 from ratewright.functions.ratios import RATE_SCALE, percent, scaled
 from ratewright.functions.values import legend
 from ratewright.operators.rates import EXPOSURE_COLUMNS, rate, sums
@@ -40,18 +40,14 @@ def ownership_split(clean: DataFrame, r: Roles, lim: Limits) -> DataFrame:
         .groupBy("scope", "ownership")
         .agg(*[F.sum(c).alias(c) for c in additive])
     )
-    scope_hours = split.groupBy("scope").agg(F.sum("total_hours").alias("scope_hours"))
-    return (
-        split.join(F.broadcast(scope_hours), "scope")
-        .select(
-            "scope",
-            "ownership",
-            *additive,
-            rate().alias("trir"),
-            percent(F.col("total_hours"), F.col("scope_hours"), 2).alias("pct_of_scope_hours"),
-        )
-        .orderBy("scope", "ownership")
-    )
+    scope_hours = F.sum("total_hours").over(W.partitionBy("scope"))
+    return split.select(
+        "scope",
+        "ownership",
+        *additive,
+        rate().alias("trir"),
+        percent(F.col("total_hours"), scope_hours, 2).alias("pct_of_scope_hours"),
+    ).orderBy("scope", "ownership")
 
 
 def subset_share_and_rate(
@@ -71,12 +67,12 @@ def subset_share_and_rate(
 
 def external_benchmark(overall: DataFrame, published: float) -> DataFrame:
     """One row: the overall rate against a published one."""
-    rate, given = F.col("trir"), F.lit(float(published))
+    ours, given = F.col("trir"), F.lit(float(published))
     return overall.select(
         "trir",
         given.alias("published_rate"),
-        (rate / given).alias("ratio"),
-        (rate - given).alias("difference"),
+        (ours / given).alias("ratio"),
+        (ours - given).alias("difference"),
     )
 
 
@@ -96,52 +92,53 @@ def mix_table(
         F.sum(r.exposure).alias("whole_hours"),
         F.sum("recordable_cases").alias("whole_cases"),
     ).withColumn("hours", F.coalesce("hours_or_none", F.lit(0)))
-    totals = groups.agg(
-        F.sum("hours").alias("hours_total"), F.sum("whole_hours").alias("whole_total")
-    )
-    share = percent(F.col("hours"), F.col("hours_total"))
-    whole_share = percent(F.col("whole_hours"), F.col("whole_total"))
-    return (
-        groups.crossJoin(F.broadcast(totals))
-        .select(
-            by,
-            F.col("n").alias(f"{target_as}_n_establishments"),
-            F.col("hours").alias(f"{target_as}_hours"),
-            F.round(share, 2).alias(f"{target_as}_pct_of_hours"),
-            F.round(whole_share, 2).alias(f"{whole_as}_pct_of_hours"),
-            F.round(share - whole_share, 2).alias("pct_point_diff"),
-            scaled(F.col("cases"), F.col("hours_or_none"), RATE_SCALE).alias(f"{target_as}_trir"),
-            scaled(F.col("whole_cases"), F.col("whole_hours"), RATE_SCALE).alias(f"{whole_as}_trir"),
-        )
-        .orderBy(F.col(f"{target_as}_pct_of_hours").desc_nulls_last(), by)
+    every = W.partitionBy()  # one row per group
+    share = percent(F.col("hours"), F.sum("hours").over(every))
+    whole_share = percent(F.col("whole_hours"), F.sum("whole_hours").over(every))
+    return groups.select(
+        by,
+        F.col("n").alias(f"{target_as}_n_establishments"),
+        F.col("hours").alias(f"{target_as}_hours"),
+        F.round(share, 2).alias(f"{target_as}_pct_of_hours"),
+        F.round(whole_share, 2).alias(f"{whole_as}_pct_of_hours"),
+        F.round(share - whole_share, 2).alias("pct_point_diff"),
+        scaled(F.col("cases"), F.col("hours_or_none"), RATE_SCALE).alias(f"{target_as}_trir"),
+        scaled(F.col("whole_cases"), F.col("whole_hours"), RATE_SCALE).alias(f"{whole_as}_trir"),
+    ).orderBy(F.col(f"{target_as}_pct_of_hours").desc_nulls_last(), by)
+
+
+def target_and_whole_rate(clean: DataFrame, r: Roles, target: str) -> DataFrame:
+    """One row, from one pass: the target region's rate and the rate of all rows."""
+    here = F.col(r.region) == target
+    cases, exposure = F.col("recordable_cases"), F.col(r.exposure)
+    return clean.agg(
+        scaled(F.sum(F.when(here, cases)), F.sum(F.when(here, exposure)), RATE_SCALE).alias(
+            "actual_trir"
+        ),
+        scaled(F.sum(cases), F.sum(exposure), RATE_SCALE).alias("whole_trir"),
     )
 
 
 def indirect_standardisation(
-    mix: DataFrame, actual: DataFrame, whole: DataFrame, target_as: str = "me", whole_as: str = "nat"
+    mix: DataFrame, rates: DataFrame, target_as: str = "me", whole_as: str = "nat"
 ) -> DataFrame:
     """One row: the rate the target would have if each of its groups ran at the whole's rate,
-    and how much of its gap to the whole that explains.
-
-    ``actual`` and ``whole`` are one-row frames with a ``trir`` column.
+    and how much of its gap to the whole that explains. ``rates`` as from
+    ``target_and_whole_rate``.
     """
-    hours, rate = F.col(f"{target_as}_hours"), F.col(f"{whole_as}_trir")
+    hours, group_rate = F.col(f"{target_as}_hours"), F.col(f"{whole_as}_trir")
     expected = (
-        mix.filter(rate.isNotNull())
-        .agg(F.sum(hours * rate).alias("weighted"), F.sum(hours).alias("hours"))
+        mix.filter(group_rate.isNotNull())
+        .agg(F.sum(hours * group_rate).alias("weighted"), F.sum(hours).alias("hours"))
         .select(F.try_divide(F.col("weighted"), F.col("hours").cast("double")).alias("expected_trir"))
     )
     gap = F.col("actual_trir") - F.col("whole_trir")
-    return (
-        expected.crossJoin(F.broadcast(actual.select(F.col("trir").alias("actual_trir"))))
-        .crossJoin(F.broadcast(whole.select(F.col("trir").alias("whole_trir"))))
-        .select(
-            "actual_trir",
-            "whole_trir",
-            "expected_trir",
-            gap.alias("gap"),
-            percent(F.col("expected_trir") - F.col("whole_trir"), gap).alias("pct_of_gap_explained"),
-        )
+    return expected.crossJoin(F.broadcast(rates)).select(
+        "actual_trir",
+        "whole_trir",
+        "expected_trir",
+        gap.alias("gap"),
+        percent(F.col("expected_trir") - F.col("whole_trir"), gap).alias("pct_of_gap_explained"),
     )
 
 

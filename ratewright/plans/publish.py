@@ -52,7 +52,7 @@ def results(
     ranked, overall = study.ranked(clean), study.overall(clean)
     cells, regions = study.cube(clean), study.regions(clean)
     mix, owned = study.group_mix(clean), study.ownership_mix(clean)
-    target = study.target_rate(clean)
+    both = study.target_and_whole(clean)
     return {
         "audit": (study.audit(raw), ["check_no"]),
         "drop_waterfall": (rules.waterfall(staged, study.limits.rules), ["step"]),
@@ -78,11 +78,11 @@ def results(
         "maine_sector_mix": (mix, [F.col("me_pct_of_hours").desc_nulls_last(), group]),
         "maine_ownership_mix": (owned, ["ownership"]),
         "maine_sector_standardised": (
-            composition.indirect_standardisation(mix, target, overall),
+            composition.indirect_standardisation(mix, both),
             ["gap"],
         ),
         "maine_ownership_standardised": (
-            composition.indirect_standardisation(owned, target, overall),
+            composition.indirect_standardisation(owned, both),
             ["gap"],
         ),
         "deaths_by_sector": (

@@ -439,7 +439,7 @@ STANDARDISED = ["expected_trir", "gap", "pct_of_gap_explained"]
 @query
 def indirect_standardisation(t: Tables) -> DataFrame:
     found = composition.indirect_standardisation(
-        t.study.group_mix(t.clean), t.study.target_rate(t.clean), t.study.overall(t.clean)
+        t.study.group_mix(t.clean), t.study.target_and_whole(t.clean)
     )
     return rounded(found, 8, *STANDARDISED)
 
@@ -447,7 +447,7 @@ def indirect_standardisation(t: Tables) -> DataFrame:
 @query
 def indirect_standardisation_ownership(t: Tables) -> DataFrame:
     found = composition.indirect_standardisation(
-        t.study.ownership_mix(t.clean), t.study.target_rate(t.clean), t.study.overall(t.clean)
+        t.study.ownership_mix(t.clean), t.study.target_and_whole(t.clean)
     )
     return rounded(found, 8, *STANDARDISED)
 

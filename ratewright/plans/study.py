@@ -114,10 +114,8 @@ class Study:
         owned = composition.with_ownership(clean, self.roles, self.limits)
         return composition.mix_table(owned, "ownership", self.roles, self.limits.target_region)
 
-    def target_rate(self, clean: DataFrame) -> DataFrame:
-        return self.overall(
-            clean.filter(F.col(self.roles.region) == self.limits.target_region)
-        ).select("trir")
+    def target_and_whole(self, clean: DataFrame) -> DataFrame:
+        return composition.target_and_whole_rate(clean, self.roles, self.limits.target_region)
 
     def cube(self, clean: DataFrame) -> DataFrame:
         r = self.roles

@@ -182,7 +182,7 @@ def test_target_lacks_a_group(spark, study):
 def test_standardising_on_everything_returns_the_overall_rate(spark, study):
     made = groups(spark, study, {311111: (5, 0, 2), 221111: (3, 0, 7)})
     found = composition.indirect_standardisation(
-        study.group_mix(made), study.target_rate(made), study.overall(made)
+        study.group_mix(made), study.target_and_whole(made)
     ).collect()[0]
     assert found["expected_trir"] == pytest.approx(found["whole_trir"], rel=1e-12)
     assert found["gap"] == 0.0 and found["pct_of_gap_explained"] is None

@@ -96,8 +96,8 @@ def test_regions(spark):
 def test_standardised_on_sector(spark, overall):
     rows = [(s, h, float(rate)) for (s, _, _, _, rate, *_), h in zip(P.SECTORS, P.TARGET_HOURS)]
     mix = spark.createDataFrame(rows, "sector string, me_hours long, nat_trir double")
-    actual = spark.createDataFrame([(P.TARGET_RATE,)], "trir double")
-    r = composition.indirect_standardisation(mix, actual, overall).collect()[0]
+    both = overall.select(F.lit(P.TARGET_RATE).alias("actual_trir"), F.col("trir").alias("whole_trir"))
+    r = composition.indirect_standardisation(mix, both).collect()[0]
     assert round(r["expected_trir"], 3) == 3.538
     assert round(r["pct_of_gap_explained"], 1) == 2.3 and round(r["gap"], 3) == 2.767
 
