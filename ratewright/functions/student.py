@@ -1,74 +1,89 @@
-"""Student's t as column expressions, for test statistics on one-row results."""
+"""Student's t in column expressions, for test statistics on one-row results.
+
+Intermediate values are columns of their own, so that none is written out twice in the plan.
+"""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SERIES_LIMIT = 200  # degrees of freedom up to which the finite series is used
 _TERMS = 80
 
 
-def two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|): the finite series for few degrees of freedom, Hill's normal
-    transformation (Algorithm 395, CACM 1970) beyond."""
-    size = F.abs(t)
-    return F.when(df <= _SERIES_LIMIT, F.greatest(F.lit(0.0), 1.0 - _central_series(size, df))).otherwise(
-        _normal_two_sided(_hill_z(size, df))
-    )
-
-
-def _steps(count: Column) -> Column:
-    return F.when(count >= 1, F.sequence(F.lit(1), count.cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
 def _series(start: Column, count: Column, factor) -> Column:
     """start + start*f(1) + start*f(1)*f(2) + ... over ``count`` further terms."""
-    first = F.struct(start.alias("term"), start.alias("total"))
+    none = F.array().cast("array<int>")
+    steps = F.when(count >= 1, F.sequence(F.lit(1), count.cast("int"))).otherwise(none)
 
     def extend(acc, j):
         term = acc["term"] * factor(j.cast("double"))
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    return F.aggregate(_steps(count), first, extend, lambda acc: acc["total"])
+    first = F.struct(start.alias("term"), start.alias("total"))
+    return F.aggregate(steps, first, extend, lambda acc: acc["total"])
 
 
-def _central_series(t: Column, df: Column) -> Column:
-    """P(|T| <= t) for whole degrees of freedom."""
-    angle = F.atan(t / F.sqrt(df.cast("double")))
-    sine, cosine = F.sin(angle), F.cos(angle)
-    even = sine * _series(
-        F.lit(1.0), F.floor((df - 2) / 2), lambda j: (2.0 * j - 1.0) / (2.0 * j) * cosine * cosine
-    )
-    odd_sum = F.when(df == 1, F.lit(0.0)).otherwise(
-        _series(cosine, F.floor((df - 3) / 2), lambda j: (2.0 * j) / (2.0 * j + 1.0) * cosine * cosine)
-    )
-    odd = (2.0 / math.pi) * (angle + sine * odd_sum)
-    return F.when(F.pmod(df, F.lit(2)) == 0, even).otherwise(odd)
+def with_two_sided_p(table: DataFrame, t: Column, df: Column, name: str) -> DataFrame:
+    """Add P(|T| >= |t|) for whole degrees of freedom; NULL where t is NULL or df is below 1.
 
+    The finite series up to 200 degrees of freedom, beyond them Hill's transformation to
+    a normal deviate (Algorithm 395, CACM 1970).
+    """
+    size, dof, y, z = F.col("_t"), F.col("_df"), F.col("_y"), F.col("_z")
+    cosine, even = F.col("_cos"), F.col("_even")
 
-def _hill_z(t: Column, df: Column) -> Column:
-    a = df.cast("double") - 0.5
-    b = 48.0 * a * a
-    y = a * F.log1p(t * t / df)
-    top = ((-0.4 * y - 3.3) * y - 24.0) * y - 85.5
-    return (((top / (0.8 * y * y + 100.0 + b)) + y + 3.0) / b + 1.0) * F.sqrt(y)
+    start = F.when(even, F.lit(1.0)).otherwise(cosine)
+    count = F.floor(F.when(even, dof - 2).otherwise(dof - 3) / 2)
+    tail = F.lit(1.0) - F.when(even, F.col("_sin") * F.col("_sum")).otherwise(
+        (2.0 / math.pi)
+        * (F.col("_angle") + F.when(dof == 1, F.lit(0.0)).otherwise(F.col("_sin") * F.col("_sum")))
+    )
+
+    def ratio(j: Column) -> Column:
+        odd_step = 2.0 * j / (2.0 * j + 1.0)
+        return F.when(even, (2.0 * j - 1.0) / (2.0 * j)).otherwise(odd_step) * cosine * cosine
 
+    a = dof - 0.5
+    scale = 48.0 * a * a
+    correction = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + scale)
+    deviate = ((correction + y + 3.0) / scale + 1.0) * F.sqrt(y)
 
-def _normal_two_sided(z: Column) -> Column:
-    density = F.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
-    near = 1.0 - 2.0 * density * _series(
+    near = F.lit(1.0) - 2.0 * F.col("_density") * _series(
         z, F.lit(_TERMS), lambda k: z * z / (2.0 * k + 1.0)
     )
     fraction = F.aggregate(
         F.sequence(F.lit(_TERMS), F.lit(1)), z, lambda v, k: z + k.cast("double") / v
     )
-    return F.when(z < 3.0, near).otherwise(2.0 * density / fraction)
+    normal = F.when(z < 3.0, near).otherwise(2.0 * F.col("_density") / fraction)
+    exact = dof <= _SERIES_LIMIT
+    return (
+        table.withColumns({"_t": F.abs(t).cast("double"), "_df": F.when(df >= 1, df.cast("double"))})
+        .withColumns({"_angle": F.atan(size / F.sqrt(dof)), "_y": a * F.log1p(size * size / dof)})
+        .withColumns(
+            {
+                "_sin": F.sin("_angle"),
+                "_cos": F.cos("_angle"),
+                "_even": F.pmod(dof, F.lit(2.0)) == 0,
+                "_z": deviate,
+            }
+        )
+        .withColumns(
+            {
+                "_sum": F.when(exact, _series(start, count, ratio)),
+                "_density": F.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi),
+            }
+        )
+        .withColumn(
+            name,
+            F.when(dof.isNotNull() & size.isNotNull(), F.when(exact, F.greatest(F.lit(0.0), tail)).otherwise(normal)),
+        )
+        .select(*table.columns, name)
+    )
 
 
 def central_quantile(confidence: float, df: Column) -> Column:

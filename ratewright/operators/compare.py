@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ratewright.functions.frames import rank_descending
 from ratewright.functions.ratios import RATE_SCALE, percent, scaled
-from ratewright.functions.student import two_sided_p
+from ratewright.functions.student import with_two_sided_p
 from ratewright.roles import Roles
 
 
@@ -76,19 +76,16 @@ def _shared_rank(column: str) -> Column:
 def spearman(ranked: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rank correlation of two columns over groups, n, and the two-sided p."""
     n, rho = F.col("n"), F.col("rho")
-    t = rho * F.sqrt((n - 2) / ((1.0 - rho) * (1.0 + rho)))
-    exact = F.abs(rho) >= 1.0
-    return (
+    perfect = F.abs(rho) >= 1.0
+    t = F.when(~perfect, rho * F.sqrt((n - 2) / ((1.0 - rho) * (1.0 + rho))))
+    correlated = (
         ranked.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
         .select(_shared_rank(a).alias("a"), _shared_rank(b).alias("b"))
         .agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"))
-        .select(
-            "rho",
-            F.when(n > 2, F.when(exact, F.lit(0.0)).otherwise(two_sided_p(F.when(~exact, t), n - 2))).alias(
-                "p_value"
-            ),
-            "n",
-        )
+    )
+    tested = with_two_sided_p(correlated, F.when(n > 2, t), n - 2, "p")
+    return tested.select(
+        "rho", F.when(perfect & (n > 2), F.lit(0.0)).otherwise(F.col("p")).alias("p_value"), "n"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewright.functions.frames import rows_from
 from ratewright.functions.ratios import percent
-from ratewright.functions.student import central_quantile, two_sided_p
+from ratewright.functions.student import central_quantile, with_two_sided_p
 
 
 def regression_input(clean: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,17 +64,21 @@ def ols_fixed_effects(
         "std_error",
         F.when(F.col("df") > 0, F.sqrt(F.col("sse") / F.col("df") / F.col("sxx"))),
     )
-    half = central_quantile(confidence, F.col("df")) * F.col("std_error")
-    return measured.select(
+    t = F.when(F.col("std_error") > 0, F.col("slope") / F.col("std_error"))
+    half = F.col("half_width")
+    return with_two_sided_p(
+        measured.withColumn("half_width", central_quantile(confidence, F.col("df")) * F.col("std_error")),
+        t,
+        F.col("df"),
+        "p_value",
+    ).select(
         "n",
         "n_groups",
         "slope",
         "std_error",
         (F.col("slope") - half).alias("ci_low"),
         (F.col("slope") + half).alias("ci_high"),
-        F.when(F.col("std_error") > 0, two_sided_p(F.col("slope") / F.col("std_error"), F.col("df"))).alias(
-            "p_value"
-        ),
+        "p_value",
         (1.0 - F.try_divide(F.col("sse"), F.col("total"))).alias("r_squared"),
         (F.col("slope") * math.log(2.0)).alias("change_per_doubling"),
     )

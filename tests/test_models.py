@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratewright.functions.student import central_quantile, two_sided_p
+from ratewright.functions.student import central_quantile, with_two_sided_p
 from ratewright.operators.compare import spearman
 from ratewright.operators.models import ols_fixed_effects
 
@@ -24,23 +24,26 @@ from ratewright.operators.models import ols_fixed_effects
     ],
 )
 def test_tails(spark, t, df, p):
-    got = spark.range(1).select(two_sided_p(F.lit(t), F.lit(df).cast("bigint")).alias("p")).collect()[0]["p"]
-    assert got == pytest.approx(p, rel=2e-6, abs=1e-12)
+    assert tail(spark, t, df) == pytest.approx(p, rel=2e-6, abs=1e-12)
+
+
+def tail(spark, t, df):
+    return with_two_sided_p(spark.range(1), F.lit(t), F.lit(df).cast("bigint"), "p").collect()[0]["p"]
 
 
 def test_far_tail(spark):
-    got = spark.range(1).select(two_sided_p(F.lit(-15.0), F.lit(10**9).cast("bigint"))).collect()[0][0]
-    assert got == pytest.approx(math.erfc(15 / math.sqrt(2)), rel=1e-4)
+    assert tail(spark, -15.0, 10**9) == pytest.approx(math.erfc(15 / math.sqrt(2)), rel=1e-4)
 
 
 def test_series_and_transformation_meet(spark):
-    p = [
-        spark.range(1).select(two_sided_p(F.lit(2.5), F.lit(df).cast("bigint"))).collect()[0][0]
-        for df in (199, 200, 201, 202)
-    ]
+    p = [tail(spark, 2.5, df) for df in (199, 200, 201, 202)]
     assert all(0 < a - b < 1e-5 for a, b in zip(p, p[1:]))
 
 
+def test_no_degrees_of_freedom(spark):
+    assert tail(spark, 2.5, 0) is None
+
+
 def test_quantile(spark):
     got = [
         spark.range(1).select(central_quantile(0.95, F.lit(df))).collect()[0][0] for df in (30, 100, 10**6)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratewright.functions.frames import rank_descending
-from ratewright.functions.student import central_quantile, two_sided_p
+from ratewright.functions.student import central_quantile, with_two_sided_p
 from ratewright.operators import compare, composition, cube, models, rates
 
 BANDS = [name for name, *_ in P.BANDS]
@@ -184,10 +184,8 @@ def test_deaths(spark):
 def test_interval_and_p_of_the_slope(spark):
     dof = P.CLEAN_ROWS - 21
     error = (P.SLOPE_HIGH - P.SLOPE_LOW) / 2 / 1.959964
-    r = spark.range(1).select(
-        central_quantile(0.95, F.lit(dof)).alias("t"),
-        two_sided_p(F.lit(P.SLOPE / error), F.lit(dof).cast("bigint")).alias("p"),
-    ).collect()[0]
+    one = spark.range(1).withColumn("t", central_quantile(0.95, F.lit(dof)))
+    r = with_two_sided_p(one, F.lit(P.SLOPE / error), F.lit(dof), "p").collect()[0]
     assert P.SLOPE + r["t"] * error == pytest.approx(P.SLOPE_HIGH, abs=1e-7)
     assert r["p"] == pytest.approx(P.SLOPE_P, rel=2e-3)
     assert P.SLOPE * math.log(2) == pytest.approx(P.PER_DOUBLING, rel=1e-12)
