@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SLICES = 4096
-FLOOR = 100_000
+SLICES = 32_768
+FLOOR = 1_000_000
+
+_JUMPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
 def large_groups(
@@ -29,10 +31,11 @@ def large_groups(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     whole = sizes.agg(F.sum("_rows").alias("_whole"))
     share = F.col("_rows").cast("double") * slices
+    step = F.greatest(F.floor(F.col("_whole") / slices), F.lit(max(1, floor // 8)))
     return (
         sizes.crossJoin(F.broadcast(whole))
         .filter((F.col("_rows") > floor) & (share > 2.0 * F.col("_whole")))
-        .select(*keys, F.greatest(F.floor(F.col("_whole") / slices), F.lit(1)).alias("_step"))
+        .select(*keys, step.alias("_step"))
     )
 
 
@@ -48,6 +51,16 @@ def _matches(keys: Sequence[str]) -> Column:
     return condition
 
 
+def _greater(entries: Column, position: Column) -> Column:
+    """How many entries of a descending array are greater, by binary search."""
+
+    def ahead(passed: Column, jump: Column) -> Column:
+        further = F.try_element_at(entries, passed + jump) > position
+        return F.when(further, passed + jump).otherwise(passed)
+
+    return F.aggregate(F.array(*[F.lit(j) for j in _JUMPS]), F.lit(0), ahead)
+
+
 def in_slices(df: DataFrame, keys: Sequence[str], position: str, steps: DataFrame) -> DataFrame:
     """Add ``_slice``: 0 for the greatest positions of a group, then 1, and so on.
 
@@ -63,10 +76,10 @@ def in_slices(df: DataFrame, keys: Sequence[str], position: str, steps: DataFram
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set(position), asc=False).alias("_cuts"))
     )
-    # Chunks of about the square root of the cuts: find the chunk, then the place in it.
-    width = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    # Chunks of about the square root of the cuts. A row finds its chunk by the chunks' ends,
+    # then its place in that chunk, so no row ever carries all cuts of its group.
     last = F.ceil(F.size("_cuts") / F.col("_width")).cast("int") - 1
-    chunked = cuts.withColumn("_width", width).select(
+    chunked = cuts.withColumn("_width", F.ceil(F.sqrt(F.size("_cuts"))).cast("int")).select(
         *keys,
         "_width",
         F.transform(
@@ -74,15 +87,22 @@ def in_slices(df: DataFrame, keys: Sequence[str], position: str, steps: DataFram
             lambda i: F.slice("_cuts", i * F.col("_width") + 1, F.col("_width")),
         ).alias("_chunks"),
     )
-    passed = F.size(F.filter("_chunks", lambda chunk: F.element_at(chunk, -1) > F.col(position)))
-    within = F.size(F.filter("_chunk", lambda cut: cut > F.col(position)))
-    number = F.col("_passed") * F.col("_width") + F.coalesce(within, F.lit(0))
+    ends = chunked.select(
+        *keys, "_width", F.transform("_chunks", lambda chunk: F.element_at(chunk, -1)).alias("_ends")
+    )
+    inner = chunked.select(*keys, F.posexplode("_chunks").alias("_passed", "_inner"))
+    at, both = F.col(position), [*keys, "_passed"]
+    within = F.coalesce(F.when(F.col("_inner").isNotNull(), _greater(F.col("_inner"), at)), F.lit(0))
     return (
-        df.join(F.broadcast(_prefixed(chunked, keys)), _matches(keys), "left")
+        df.join(F.broadcast(_prefixed(ends, keys)), _matches(keys), "left")
         .withColumn("_cut", F.col("_width").isNotNull())
-        .withColumn("_passed", F.when(F.col("_cut"), passed))
-        .withColumn("_chunk", F.try_element_at("_chunks", F.col("_passed") + 1))
-        .withColumn("_slice", F.when(F.col("_cut"), number).otherwise(0))
+        .withColumn("_passed", F.when(F.col("_cut"), _greater(F.col("_ends"), at)))
+        .select(*df.columns, "_cut", "_width", "_passed")
+        .join(F.broadcast(_prefixed(inner, both)), _matches(both), "left")
+        .withColumn(
+            "_slice",
+            F.when(F.col("_cut"), F.col("_passed") * F.col("_width") + within).otherwise(0),
+        )
         .select(*df.columns, "_cut", "_slice")
     )
 

@@ -28,7 +28,7 @@ def test_large_groups_are_few(skewed):
     assert {r["k"] for r in large.collect()} == {None, "hot"}
 
 
-@pytest.mark.parametrize("slices,floor", [(16, 100), (400, 50), (4096, 100_000)])
+@pytest.mark.parametrize("slices,floor", [(16, 100), (400, 50), (12_000, 8), (32_768, 1_000_000)])
 def test_numbers_equal_a_plain_window(skewed, slices, floor):
     order = W.partitionBy("k", "period").orderBy(F.col("t").desc_nulls_last(), F.col("id").desc())
     plain = skewed.withColumn("n", F.row_number().over(order)).select("id", "n")
