@@ -76,6 +76,12 @@ def rate_pivot(
     return chosen.groupBy(group).pivot("size_band", list(bands)).agg(cell).select(group, *_quoted(bands))
 
 
+def published_pivot(table: DataFrame, group: str, bands: Sequence[str]) -> DataFrame:
+    """Groups by bands of a published table that holds one rate per cell."""
+    cells = table.groupBy(group).pivot("size_band", list(bands)).agg(F.avg("trir"))
+    return cells.select(group, *_quoted(bands))
+
+
 def _quoted(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 

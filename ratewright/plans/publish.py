@@ -28,7 +28,7 @@ def establishment_study(spark: SparkSession, lookup_path: str | None = None) ->
     lookup = (
         contract.sector_lookup(spark)
         if lookup_path is None
-        else files.read_csv(spark, lookup_path, contract.LOOKUP_SCHEMA)
+        else contract.read_lookup(spark, lookup_path)
     )
     return Study(ESTABLISHMENT_ROLES, ESTABLISHMENT_LIMITS, lookup)
 

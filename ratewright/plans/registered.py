@@ -234,6 +234,12 @@ def parse_coverage(t: Tables) -> DataFrame:
     return audit.parse_coverage(t.raw.select(late.alias("filed_txt")), "filed_txt")
 
 
+@query
+def parse_coverage_plain(t: Tables) -> DataFrame:
+    """A plain cast reads none of the days."""
+    return audit.parse_coverage(t.raw, "filed_txt", F.col("filed_txt").try_cast("timestamp_ntz"))
+
+
 @query
 def commonest_parses(t: Tables) -> DataFrame:
     return audit.commonest_parses(t.raw, "filed_txt")
@@ -510,6 +516,33 @@ def gradient_summary(t: Tables) -> DataFrame:
     return cube.gradient_summary(t.study.shape(t.study.cube(t.clean)), "grp")
 
 
+@query
+def gradient_from_published(t: Tables) -> DataFrame:
+    """The same shape, from the result table as published and read again."""
+    table = cube.sector_size_rates(t.study.cube(t.clean), "grp")
+    path = new_shared_path(t.spark, "sector-size")
+    files.write_result(table, path, ["grp", "size_order"])
+    again = files.read_csv(t.spark, path, table.schema)
+    pivot = cube.published_pivot(again, "grp", band_names())
+    return _named_bands(cube.gradient_shape(pivot, band_names()))
+
+
+@query
+def export_read_back(t: Tables) -> DataFrame:
+    """The row export as written, read again and summed."""
+    exported = cube.clean_export(t.clean, EXPORTED)
+    path = new_shared_path(t.spark, "export")
+    files.write_export(exported, path, ["grp", "size_band", "region_grp"], ["unit_id"])
+    again = files.read_csv(t.spark, path, exported.schema)
+    return again.groupBy("grp", "size_band").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("exposure").alias("exposure"),
+        F.sum("recordable_cases").alias("recordable_cases"),
+        F.min("trir").alias("min_trir"),
+        F.max("dart").alias("max_dart"),
+    )
+
+
 @query
 def regression_input(t: Tables) -> DataFrame:
     return models.regression_input(

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ratewright.sources.files import read_csv
+
 # Column names, in file order, with their types.
 _COLUMNS = [
     ("id", "bigint"),
@@ -86,3 +88,14 @@ SECTORS = [
 
 def sector_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SECTORS, LOOKUP_SCHEMA)
+
+
+MOST_PREFIXES = 10_000
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """A lookup from CSV. Lookups are broadcast, so one too long for a code list is refused."""
+    lookup = read_csv(spark, path, LOOKUP_SCHEMA)
+    if lookup.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"a lookup may have at most {MOST_PREFIXES} prefixes: {path}")
+    return lookup
