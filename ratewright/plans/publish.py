@@ -75,13 +75,13 @@ def results(
             composition.external_benchmark(overall, PUBLISHED_RATE),
             ["published_rate"],
         ),
-        "maine_sector_mix": (mix, [F.col("me_pct_of_hours").desc_nulls_last(), group]),
-        "maine_ownership_mix": (owned, ["ownership"]),
-        "maine_sector_standardised": (
+        "target_sector_mix": (mix, [F.col("me_pct_of_hours").desc_nulls_last(), group]),
+        "target_ownership_mix": (owned, ["ownership"]),
+        "target_sector_standardised": (
             composition.indirect_standardisation(mix, both),
             ["gap"],
         ),
-        "maine_ownership_standardised": (
+        "target_ownership_standardised": (
             composition.indirect_standardisation(owned, both),
             ["gap"],
         ),

@@ -1,8 +1,8 @@
 """Every operator as a query over the order tables.
 
-Raw and staged rows are written once per session and folder, as tables in the shared
+Raw, staged and clean rows are written once per session and folder, as tables in the shared
 folder, and read from there: results must not stage the same rows again. Queries about
-staging itself start from the raw table.
+staging and cleaning themselves start from the raw table.
 """
 
 from __future__ import annotations
@@ -62,9 +62,9 @@ class Tables:
     def staged(self) -> DataFrame:
         return land(self.study.stage(self.raw), "staged")
 
-    @property
+    @cached_property
     def clean(self) -> DataFrame:
-        return self.study.clean(self.staged)
+        return land(self.study.clean(self.staged), "clean")
 
     @property
     def prepared(self) -> DataFrame:

@@ -107,7 +107,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             F.count(F.lit(1)).alias("n_lines"),
             (F.sum("facts.commas") + 1).alias("n_fields"),
             F.max(~F.col("inside") & F.col("facts.empty_first")).alias("empty_first"),
-            F.max(F.struct("line", "facts.empty_last"))["empty_last"].alias("empty_last"),
+            F.max_by("facts.empty_last", "line").alias("empty_last"),
         )
         .filter(F.col("record") > 1)
     )

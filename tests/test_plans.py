@@ -41,11 +41,16 @@ def test_rows_are_never_gathered_in_one_partition(plans):
 
 
 def test_results_read_only_their_columns(plans):
-    text = plans["overall_rates"]
-    assert scans(text) == [
-        {"workers", "exposure", "c1", "c2", "deaths", "recordable_cases", "drop_step"}
-    ]
-    assert "IsNull(drop_step)" in text
+    measures = {"workers", "exposure", "c1", "c2", "deaths", "recordable_cases"}
+    assert scans(plans["overall_rates"]) == [measures]
+    assert scans(plans["sector_two_rankings"]) == [measures | {"grp"}]
+    assert scans(plans["ols_fixed_effects"]) == [{"trir", "workers", "grp"}]
+    assert scans(plans["waterfall"]) == [{"drop_step"}]
+
+
+def test_filters_reach_the_scan(plans):
+    dropped = plans["examples_per_step"]
+    assert "PushedFilters: [IsNotNull(drop_step)]" in dropped
 
 
 def test_audit_makes_one_pass_and_one_over_the_identifier(spark):
