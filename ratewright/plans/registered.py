@@ -95,6 +95,11 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be NULL as doubles, the one form both engines' frames share."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # Profiling and audit
 
 
@@ -181,8 +186,9 @@ def record_structure_quoted(t: Tables) -> DataFrame:
 
 @query
 def inspection_sample(t: Tables) -> DataFrame:
-    return files.inspection_sample(t.raw, IDENTITY, 10).select(
-        *IDENTITY, "grp", "region_grp", "workers", "exposure"
+    sample = files.inspection_sample(t.raw, IDENTITY, 10)
+    return shown(
+        sample.select(*IDENTITY, "grp", "region_grp", "workers", "exposure"), "workers", "exposure"
     )
 
 
@@ -198,7 +204,8 @@ def duplicate_keys(t: Tables) -> DataFrame:
 
 @query
 def duplicate_drilldown(t: Tables) -> DataFrame:
-    return audit.duplicate_drilldown(t.raw, ["unit_id"], [*IDENTITY, "period", "grp", "workers", "exposure"])
+    keep = [*IDENTITY, "period", "grp", "workers", "exposure"]
+    return shown(audit.duplicate_drilldown(t.raw, ["unit_id"], keep), "workers", "exposure")
 
 
 @query
@@ -265,7 +272,8 @@ def prefix_lookup(t: Tables) -> DataFrame:
 
 @query
 def first_fail(t: Tables) -> DataFrame:
-    return t.study.stage(t.raw).select(*ROW, "sector", "recordable_cases", "drop_step")
+    staged = t.study.stage(t.raw).select(*ROW, "sector", "recordable_cases", "drop_step")
+    return shown(staged, "drop_step")
 
 
 @query
@@ -302,7 +310,8 @@ def reconcile(t: Tables) -> DataFrame:
 
 @query
 def examples_per_step(t: Tables) -> DataFrame:
-    return rules.examples_per_step(t.staged, R, [*ROW, "workers", "exposure", "recordable_cases"])
+    keep = [*ROW, "workers", "exposure", "recordable_cases"]
+    return shown(rules.examples_per_step(t.staged, R, keep), "workers", "exposure")
 
 
 @query
@@ -374,7 +383,10 @@ AVERAGED = ["trir_average_of_rates", "overstatement"]
 
 @query
 def averaging_counterfactual(t: Tables) -> DataFrame:
-    return rounded(t.study.averaging(t.clean), 9, *AVERAGED)
+    compared = rounded(t.study.averaging(t.clean), 9, *AVERAGED)
+    return shown(
+        compared, "rank_sum_then_divide", "rank_average_of_rates", "places_moved_under_averaging"
+    )
 
 
 @query
@@ -573,4 +585,4 @@ def model_stats(t: Tables) -> DataFrame:
 @query
 def chart_feeds(t: Tables) -> DataFrame:
     ranked, bands, top = t.study.ranked(t.clean), t.study.bands(t.clean), t.study.top_regions(t.clean)
-    return cube.chart_feeds(ranked, bands, top, "grp", "region_grp")
+    return shown(cube.chart_feeds(ranked, bands, top, "grp", "region_grp"), "other_rank")
