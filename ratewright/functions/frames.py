@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,6 @@ def with_total(groups: DataFrame, measure: str, name: str) -> DataFrame:
     return groups.crossJoin(F.broadcast(total))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition under which NULL keys match each other, as in GROUP BY."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def rank_descending(value: Column) -> Column:
     """RANK over a table of groups; NULL ranks last. For aggregated rows only."""
     return F.rank().over(W.orderBy(value.desc_nulls_last())).cast("bigint")

@@ -7,12 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+_DIGITS = "[0-9]+(_[0-9]+)*"
+_NUMBER = rf"^\s*[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?[0-9]+)?\s*$"
 
 
-def as_integer(text: Column) -> Column:
-    """BIGINT where the text is a whole number, NULL elsewhere."""
-    return F.when(text.rlike(INTEGER_TEXT), F.trim(text).try_cast("bigint"))
+def reads_as_integer(text: Column) -> Column:
+    """Whether a lenient cast makes a BIGINT of the text: any number within range, decimals
+    and exponents included, since those are rounded."""
+    plain = F.regexp_replace(text, r"[\s_]", "")
+    value = plain.try_cast("double")
+    in_bounds = (value >= -(2.0**63)) & (value < 2.0**63)
+    return text.rlike(_NUMBER) & (plain.try_cast("bigint").isNotNull() | in_bounds)
 
 
 def as_filed_time(text: Column, day_format: str = "M/d/yyyy") -> Column:

@@ -120,6 +120,7 @@ def chart_feeds(ranked: DataFrame, bands: DataFrame, top: DataFrame, group: str,
     """What the four charts draw, in order: feed, position, label, n, value, rank on the other
     measure. Groups marked ``insufficient n`` are left out of the first two."""
     enough = ranked.filter(~F.col("note").eqNullSafe("insufficient n"))
+    by_rate, by_count = F.col("rank_by_rate"), F.col("rank_by_count")
     none = F.lit(None).cast("bigint")
 
     def feed(df: DataFrame, name: str, label: str, value: str, other: Column, *order: Column):
@@ -133,9 +134,9 @@ def chart_feeds(ranked: DataFrame, bands: DataFrame, top: DataFrame, group: str,
         )
 
     return (
-        feed(enough, "groups by rate", group, "trir", F.col("rank_by_count"), F.col("rank_by_rate"), F.col(group))
+        feed(enough, "groups by rate", group, "trir", by_count, by_rate, F.col(group))
         .unionByName(
-            feed(enough, "groups by count", group, "total_cases", F.col("rank_by_rate"), F.col("rank_by_count"), F.col(group))
+            feed(enough, "groups by count", group, "total_cases", by_rate, by_count, F.col(group))
         )
         .unionByName(feed(bands, "size bands", "size_band", "trir", none, F.col("size_order")))
         .unionByName(feed(top, "top regions", region, "trir", none, F.col("trir").desc(), F.col(region)))

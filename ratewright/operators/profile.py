@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ratewright.functions.frames import rows_from, with_total
 from ratewright.functions.order_stats import exact_quantiles, long_values
 from ratewright.functions.ratios import percent
-from ratewright.functions.values import as_integer, is_blank, legend
+from ratewright.functions.values import is_blank, legend, reads_as_integer
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -130,9 +130,9 @@ def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float]) ->
 
 
 def uncastable_values(df: DataFrame, column: str) -> DataFrame:
-    """Text that is not a whole number: each value with its count, and the count over all."""
+    """Text that does not cast to a whole number: each value with its count, and the count over all."""
     bad = (
-        df.filter(F.col(column).isNotNull() & as_integer(F.col(column)).isNull())
+        df.filter(F.col(column).isNotNull() & ~reads_as_integer(F.col(column)))
         .groupBy(F.col(column).alias("raw_value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -139,7 +139,12 @@ def quantiles(t: Tables) -> DataFrame:
 
 @query
 def uncastable_values(t: Tables) -> DataFrame:
-    mixed = F.when(F.col("size_code") == 2, F.col("quantity").cast("string")).otherwise(F.col("code"))
+    """Whole numbers and prices cast; the codes do not."""
+    mixed = (
+        F.when(F.col("size_code") == 2, F.col("quantity").cast("string"))
+        .when(F.col("size_code") == 3, F.col("price").cast("string"))
+        .otherwise(F.col("code"))
+    )
     return profile.uncastable_values(t.raw.select(mixed.alias("mixed")), "mixed")
 
 

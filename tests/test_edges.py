@@ -100,6 +100,17 @@ def test_uncastable(raw):
     assert [(r["raw_value"], r["len"]) for r in odd] == [("02MAR26:16:16:00", 16)]
 
 
+def test_texts_that_cast(spark):
+    # What a lenient cast to BIGINT accepts and refuses.
+    good = ["7", " 7 ", "\t7\n", "+5", "06854", "1.5", "1.", ".5", "-.5e2", "1e3", "1E3", "1_000",
+            "9223372036854775807", "-9223372036854775808", "5e18"]
+    bad = ["", "e3", "1e", "--5", "1 2", "1,000", "1.5.2", "1__0", "1._5", "inf", "nan", "true",
+           "1e19", "1e40", "9223372036854775808", "02MAR26:16:16:00"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
+    found = {r["raw_value"] for r in profile.uncastable_values(df, "t").collect()}
+    assert found == set(bad)
+
+
 def test_parse_coverage(raw):
     r = audit.parse_coverage(raw, "created_timestamp").collect()[0]
     assert (r["n_fail"], r["n_null"]) == (3, 2)
