@@ -31,6 +31,14 @@ MAP_BITS = 27
 CHUNK_BYTES = 4_000_000
 FLUSH = 2_000_000
 REMEMBERED = 500_000
+#: Counting looks at the first 48 bits of a shingle's hash: shingles equal in these are counted
+#: together, which again only moves them in the order. Sorted bytes of one place stand together
+#: and compress.
+COUNTED_BYTES, COUNTED_SHIFT = 6, 16
+#: Hubs of a shingle's group: the first set of each of so many shares of it, other ones each turn.
+HUBS, HUB_TURNS = 8, 1
+#: Words of 64 bits of a set's parity sketch, and of the folded one that prefixes carry.
+SKETCH, FOLDED = 16, 4
 #: Sets of one prefix tree, and rows that may be broadcast after counting.
 TREE, PLACES = 256, 500_000
 
@@ -80,13 +88,37 @@ def class_key(shingles: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of shingles that fall on i. Two sketches differ in no
+    more bits than the sets differ in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(one: Column, two: Column, words: int) -> Column:
+    bits = [F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i)))) for i in range(words)]
+    return sum(bits[1:], bits[0])
+
+
+def folded(sketch: Column) -> Column:
+    """A shorter sketch of the same kind."""
+    words = []
+    for i in range(FOLDED):
+        word = F.get(sketch, F.lit(i))
+        for j in range(i + FOLDED, SKETCH, FOLDED):
+            word = word.bitwiseXOR(F.get(sketch, F.lit(j)))
+        words.append(word)
+    return F.array(*words)
+
+
 def least_overlap(n: int, m: int) -> int:
     """The overlap from which sets of these sizes have a similarity of 0.8."""
     return -(-4 * (n + m) // 9)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n, s1, s2``: the size of each row's set and the key of its class."""
+    """``doc_id, text_key, n, s1, s2, sketch``: size and sketch of each row's set, and the key of
+    its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -101,13 +133,14 @@ def digests(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
+                        pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "n", "s1", "s2"],
+                    names=["doc_id", "text_key", "n", "s1", "s2", "sketch"],
                 )
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, s1 long, s2 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, s1 long, s2 long, sketch array<long>")
 
 
 class Order:
@@ -121,6 +154,10 @@ class Order:
         at = (shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64)
         return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
+    def common(self, shingles: np.ndarray) -> np.ndarray:
+        """The shingles of several documents, in order."""
+        return self.arrange(shingles[self.has(self.shared, shingles)])
+
     def arrange(self, shingles: np.ndarray) -> np.ndarray:
         late = self.has(self.frequent, shingles)
         return np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
@@ -140,7 +177,8 @@ def global_order(docs: DataFrame) -> Order:
             every = np.sort(np.concatenate(held))
             cuts = np.searchsorted(every, np.arange(parts, dtype=np.uint64) << np.uint64(64 - part_bits))
             ends = [*cuts[1:], len(every)]
-            blobs = [every[a:b].tobytes() for a, b in zip(cuts, ends)]
+            planes = (every >> np.uint64(COUNTED_SHIFT)).view(np.uint8).reshape(-1, 8)
+            blobs = [planes[a:b, :COUNTED_BYTES].T.tobytes() for a, b in zip(cuts, ends)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "shingles"]
             )
@@ -157,8 +195,11 @@ def global_order(docs: DataFrame) -> Order:
             yield flush()
 
     def count(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_buffer(), np.uint64) for b in batches for x in b.column(1)]
-        every = np.sort(np.concatenate(blobs))
+        blobs = [np.frombuffer(x.as_buffer(), np.uint8) for b in batches for x in b.column(1)]
+        planes = np.concatenate([b.reshape(COUNTED_BYTES, -1).T for b in blobs])
+        every = np.zeros((len(planes), 8), np.uint8)
+        every[:, :COUNTED_BYTES] = planes
+        every = np.sort(every.view(np.uint64).reshape(-1)) << np.uint64(COUNTED_SHIFT)
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))[: len(every)]
         times = np.diff(np.append(first, len(every)))
         part = keys[0].as_py()
@@ -228,12 +269,13 @@ def possible(n: Column, at: Column, m: Column, other_at: Column) -> Column:
 
 class Tree:
     """A prefix tree of sets in global order, as its leaves in lexicographic order with the
-    length of the path each shares with the leaf before."""
+    length of the path each shares with the leaf before. Sets come without the shingles that no
+    other document has; ``sizes`` are the sizes of the whole sets."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
         keys = [s.byteswap().tobytes() for s in sets]
         self.leaves = sorted(range(len(sets)), key=keys.__getitem__)
-        self.sets = sets
+        self.sets, self.sizes = sets, sizes
         self.shared = [0] * len(sets)
         for i in range(1, len(sets)):
             one, two = sets[self.leaves[i - 1]], sets[self.leaves[i]]
@@ -241,15 +283,17 @@ class Tree:
             differ = np.flatnonzero(one[:n] != two[:n])
             self.shared[i] = int(differ[0]) if len(differ) else n
 
-    def similar(self, probe: np.ndarray) -> list[int]:
+    def similar(self, probe: np.ndarray, size: int) -> list[int]:
         """Which sets overlap ``probe`` (in global order) enough for a similarity of 0.8."""
+        if not len(probe):
+            return []
         rank = np.argsort(probe)
         values = probe[rank]
         path = np.zeros(1, np.int64)  # overlap of the current path's first k shingles
         found = []
         for leaf, shared in zip(self.leaves, self.shared):
             member = self.sets[leaf]
-            n, need = len(member), least_overlap(len(member), len(probe))
+            n, need = len(member), least_overlap(self.sizes[leaf], size)
             path = path[: shared + 1]
             depth, overlap = len(path) - 1, int(path[-1])
             grown, used = [path], 0
@@ -270,7 +314,9 @@ class Tree:
 
 
 def sets_of(docs: DataFrame, order, places: DataFrame) -> DataFrame:
-    """``s1, s2, items`` of the classes in ``places`` (``s1, s2, doc_id``)."""
+    """``s1, s2, size, items`` of the classes in ``places`` (``s1, s2, doc_id``): the size of the
+    set, and those of its shingles that other documents have. A class may come more than once,
+    where a doc_id is repeated."""
     ids = places.select(F.col("doc_id").alias("at_doc")).distinct()
     wanted = docs.select("doc_id", "text").join(
         small(ids, PLACES), F.col("doc_id").eqNullSafe(F.col("at_doc")), "left_semi"
@@ -286,120 +332,158 @@ def sets_of(docs: DataFrame, order, places: DataFrame) -> DataFrame:
                     [
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([order.value.arrange(s).tobytes() for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([order.value.common(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["s1", "s2", "items"],
+                    names=["s1", "s2", "size", "items"],
                 )
 
-    found = wanted.select("text").where("text IS NOT NULL").mapInArrow(run, "s1 long, s2 long, items binary")
+    found = wanted.select("text").where("text IS NOT NULL").mapInArrow(run, "s1 long, s2 long, size long, items binary")
     keys = places.select(F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-    mine = found.join(small(keys, PLACES), (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")), "left_semi")
-    return mine.groupBy("s1", "s2").agg(F.first("items").alias("items"))
+    return found.join(small(keys, PLACES), (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")), "left_semi")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """Of the rows ``a1, a2, b1, b2`` those whose sets are similar."""
     ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
     places = land(classes.join(small(ends, PLACES), ["s1", "s2"]).select("s1", "s2", "doc_id"), "set-places")
-    sets = land(sets_of(docs, order, places), "sets")
     trees = pairs.groupBy("b1", "b2").agg(F.ceil(F.count("*") / TREE).alias("trees"))
-    salted = pairs.join(trees, ["b1", "b2"]).withColumn("tree", F.pmod(F.xxhash64("a1", "a2"), "trees"))
-    members = salted.join(sets.toDF("a1", "a2", "items"), ["a1", "a2"]).select("b1", "b2", "tree", "a1", "a2", "items")
-    probes = salted.select("b1", "b2", "tree").distinct().join(sets.toDF("b1", "b2", "items"), ["b1", "b2"])
+    salted = land(
+        pairs.join(small(trees), ["b1", "b2"]).withColumn("tree", F.pmod(F.xxhash64("a1", "a2"), "trees")).drop("trees"),
+        "tree-places",
+    )
     none = F.lit(None).cast("long")
-    rows = members.union(probes.select("b1", "b2", "tree", none, none, "items"))
+    wanted = salted.select("a1", "a2", "b1", "b2", "tree", F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(
+        salted.select(none, none, "b1", "b2", "tree", F.col("b1"), F.col("b2")).distinct()
+    )
+    rows = sets_of(docs, order, places).join(wanted, ["s1", "s2"]).select("b1", "b2", "tree", "a1", "a2", "size", "items")
     # a probe comes before its members; equal trees stand together
     dealt = rows.repartition("b1", "b2", "tree").sortWithinPartitions("b1", "b2", "tree", F.asc_nulls_first("a1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, key, keys, members = None, None, [], []
+        probe, size, key, keys, members, sizes = None, 0, None, [], [], []
 
         def settle() -> pa.RecordBatch:
-            good = Tree(members).similar(probe) if members else []
+            good = Tree(members, sizes).similar(probe, size) if members else []
             columns = [[keys[i][0] for i in good], [keys[i][1] for i in good], [key[0]] * len(good), [key[1]] * len(good)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2"])
 
         for batch in pieces(batches, CHUNK_BYTES, "items"):
-            b1, b2, tree, a1, a2 = (batch.column(i).to_pylist() for i in range(5))
-            for i, items in enumerate(batch.column(5)):
+            b1, b2, tree, a1, a2, n = (batch.column(i).to_pylist() for i in range(6))
+            for i, items in enumerate(batch.column(6)):
                 row = np.frombuffer(items.as_buffer(), np.uint64)
                 if (b1[i], b2[i], tree[i]) != key:
                     if key is not None:
                         yield settle()
-                    key, probe, keys, members = (b1[i], b2[i], tree[i]), row, [], []
-                else:
+                    key, probe, size, keys, members, sizes = (b1[i], b2[i], tree[i]), row, n[i], [], [], []
+                elif a1[i] is not None:  # else the probe once more
                     keys.append((a1[i], a2[i]))
                     members.append(row)
+                    sizes.append(n[i])
         if key is not None:
             yield settle()
 
     return dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``s1, s2, component`` of all classes that are similar to another."""
-    order = docs.sparkSession.sparkContext.broadcast(global_order(docs))
-    # sizes of similar sets are in the same or in neighbouring bands
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    rows = land(prefixes(docs, order).withColumn("band", band), "prefixes")
-
-    hubs = (
-        rows.groupBy("shingle", "band")
-        .agg(F.min(F.struct("s1", "s2", "n", "at")).alias("hub"), F.max(F.struct("s1", "s2")).alias("last"))
-        .where(F.struct("hub.s1", "hub.s2") < F.col("last"))
-        .select("shingle", "band", "hub")
-    )
-    star = land(
-        rows.join(hubs, ["shingle", "band"])
-        .where(F.struct("s1", "s2") != F.struct("hub.s1", "hub.s2"))
-        .where(possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
-        .select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("hub.s1").alias("b1"), F.col("hub.s2").alias("b2"))
-        .distinct(),
-        "hub-pairs",
+def edges(good: DataFrame) -> DataFrame:
+    return good.select(
+        F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("a"),
+        F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("b"),
     )
 
-    def edges(good: DataFrame) -> DataFrame:
-        return good.select(
-            F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("a"),
-            F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("b"),
-        )
 
-    first = land(edges(verified(star, docs, classes, order)), "hub-links")
+def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of their class after ``links``, itself if it has none."""
     known = land(
-        components(first).select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "component"), "first-components"
+        components(links).select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "component"), "components"
     )
-    placed = rows.join(known, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", F.struct("s1", "s2")))
-    open_groups = (
-        placed.groupBy("shingle")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least < most")
-        .select("shingle")
-    )
-    rest = land(placed.join(open_groups, "shingle", "left_semi"), "open-prefixes")
-    one = rest.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("s1", "s2", "n", "at", "component")))
-    two = rest.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("s1", "s2", "n", "at", "component")))
-    size_a, size_b = F.struct("n_a", "s1_a", "s2_a"), F.struct("n_b", "s1_b", "s2_b")
-    met = (
-        one.join(two, "shingle")
-        .where((F.col("component_a") != F.col("component_b")) & (size_a < size_b))
-        .where(possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-        .select(F.col("s1_a").alias("a1"), F.col("s2_a").alias("a2"), F.col("s1_b").alias("b1"), F.col("s2_b").alias("b2"))
-        .distinct()
+    placed = rows.drop("component").join(small(known), ["s1", "s2"], "left")
+    return placed.withColumn("component", F.coalesce("component", F.struct("s1", "s2")))
+
+
+def undecided(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of those groups of ``keys`` that have more than one component."""
+    groups = rows.groupBy(*keys).agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    some = land(groups.where("least < most").select(*keys), "undecided")
+    return land(rows.join(small(some, PLACES), keys, "left_semi"), "undecided-prefixes")
+
+
+def pairs_of(met: DataFrame, done: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller class as ``a``, less those of ``done`` and those whose
+    sketches differ in more bits than similar sets differ in shingles: a ninth of both sizes."""
+    pairs = met.select(
+        F.col("s1_a").alias("a1"), F.col("s2_a").alias("a2"), F.col("s1_b").alias("b1"), F.col("s2_b").alias("b2")
+    ).distinct()
+    if done is not None:
+        pairs = pairs.join(done, ["a1", "a2", "b1", "b2"], "left_anti")
+    known = classes.select("s1", "s2", "n", "sketch")
+    return (
+        pairs.join(known.toDF("a1", "a2", "n_a", "sketch_a"), ["a1", "a2"])
+        .join(known.toDF("b1", "b2", "n_b", "sketch_b"), ["b1", "b2"])
+        .where(differing(F.col("sketch_a"), F.col("sketch_b"), SKETCH) * 9 <= F.col("n_a") + F.col("n_b"))
+        .select("a1", "a2", "b1", "b2")
     )
-    done = star.union(star.select("b1", "b2", "a1", "a2"))
-    pairs = land(met.join(done, ["a1", "a2", "b1", "b2"], "left_anti"), "open-pairs")
-    second = edges(verified(pairs, docs, classes, order))
-    return components(first.union(second)).select(
-        F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "component"
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``s1, s2, component`` of all classes that are similar to another."""
+    order = docs.sparkSession.sparkContext.broadcast(global_order(docs))
+    rows = land(prefixes(docs, order), "prefixes").withColumn("component", F.struct("s1", "s2"))
+    columns = ("s1", "s2", "n", "at", "component")
+    smaller = F.struct("s1_a", "s2_a") < F.struct("s1_b", "s2_b")
+    may_link = (F.col("component_a") != F.col("component_b")) & possible(
+        F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")
     )
 
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("shingle", *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    links = done = None
+    for turn in range(HUB_TURNS):
+        # sizes of similar sets are in the same or in neighbouring bands
+        open_rows = undecided(
+            rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))), ["shingle", "band"]
+        )
+        spread = F.xxhash64("s1", "s2", F.lit(turn))
+        hubs = open_rows.groupBy("shingle", "band", F.pmod(spread, F.lit(HUBS)).alias("share")).agg(
+            F.min(F.struct(spread.alias("spread"), *columns)).alias("hub")
+        )
+        hubs = hubs.select("band", "shingle", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in columns))
+        met = side(open_rows, "a").withColumn("band", F.floor(F.log(F.col("n_a").cast("double")) / F.log(F.lit(1.25)))).join(
+            hubs, ["shingle", "band"]
+        )
+        # a pair of two hubs is met from both sides; either way the smaller class comes first
+        straight = met.where(may_link & smaller)
+        turned = met.where(may_link & ~smaller).toDF(
+            *(c[:-1] + "ab"[c.endswith("_a")] if c.endswith(("_a", "_b")) else c for c in met.columns)
+        )
+        pairs = land(pairs_of(straight.unionByName(turned), done, classes), "hub-pairs")
+        done = pairs if done is None else done.union(pairs)
+        good = land(edges(verified(pairs, docs, classes, order)), "hub-links")
+        links = good if links is None else links.union(good)
+        rows = with_component(rows, links)
+    short = classes.select("s1", "s2", folded(F.col("sketch")).alias("sketch"))
+    open_rows = undecided(rows, ["shingle"]).join(short, ["s1", "s2"])
+    columns = (*columns, "sketch")
+    alike = differing(F.col("sketch_a"), F.col("sketch_b"), FOLDED) * 9 <= F.col("n_a") + F.col("n_b")
+    met = side(open_rows, "a").join(side(open_rows, "b"), "shingle").where(smaller & may_link & alike)
+    pairs = land(pairs_of(met, done, classes), "open-pairs")
+    links = links.union(edges(verified(pairs, docs, classes, order)))
+    return components(links).select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "component")
+
 
 def groups_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n, s1, s2, component``, a row for each row of ``docs``; the last three
     are null without words, ``component`` is the smallest class key reachable."""
     docs = docs.select("doc_id", "text")
     rows = land(digests(docs), "shingle-classes")
-    classes = land(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = land(
+        rows.where("n > 0")
+        .groupBy("s1", "s2")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        "classes",
+    )
     linked = linked_classes(docs, classes)
     return rows.join(linked, ["s1", "s2"], "left").select(
         "doc_id",
