@@ -27,7 +27,7 @@ WORDS = 5
 FREQUENT = 64
 #: Bits of the two maps (shingles of several documents, frequent ones): a fixed size. What falls
 #: on another's bit is only ordered later or not left out; results do not change.
-MAP_BITS = 27
+MAP_BITS = 26
 CHUNK_BYTES = 4_000_000
 FLUSH = 2_000_000
 REMEMBERED = 500_000
@@ -40,7 +40,7 @@ HUBS, HUB_TURNS = 8, 1
 #: Words of 64 bits of a set's parity sketch, and of the folded one that prefixes carry.
 SKETCH, FOLDED = 16, 4
 #: Sets of one prefix tree, and rows that may be broadcast after counting.
-TREE, PLACES = 256, 500_000
+TREE, PLACES = 256, 100_000
 
 #: Odd multipliers.
 PLACE = np.array(
