@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import fresh, pieces
+from ratewright.llm.common import pieces
 
 #: A language contains an n-gram that makes up at least this share of all its n-grams. So a
 #: language has at most 1 / SHARE n-grams, however many texts it is learned from.
@@ -174,12 +174,14 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float) -> DataFram
     has no letter, or is made of n-grams no learned language contains.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    text, names = fresh("text"), docs.columns
+    # plain names: the caller's may hold dots
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    text = plain[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK_BYTES, text):
-            found, score = shared.value.predict(batch.column(len(names)).to_pylist())
-            keep = np.array([x != UNKNOWN for x in found], bool) & (score >= least)
-            yield batch.select(range(len(names))).filter(pa.array(keep))
+            found, score = shared.value.predict(batch.column(text).to_pylist())
+            yield batch.filter(pa.array(np.array([x != UNKNOWN for x in found], bool) & (score >= least)))
 
-    return docs.withColumn(text, F.col("text")).mapInArrow(run, docs.schema)
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema.fields))
+    return docs.toDF(*plain).mapInArrow(run, kinds).toDF(*docs.columns)

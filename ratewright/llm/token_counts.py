@@ -110,7 +110,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     ``vocabulary`` is the path of a tokenizer file on the driver. A null text counts as empty:
     no bytes and no tokens. Null and repeated doc_ids stay as they are, each row is counted by
-    itself; other columns are ignored; an empty table gives no rows.
+    itself; other columns are ignored; an empty table gives no rows. Letters that Unicode has
+    added since version 15.1 may count otherwise than in a library with older tables.
     """
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
