@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from ratewright.functions.ranking import in_slices
 
@@ -19,13 +20,16 @@ VALUE_SLICES = 256
 _GROUP = "column_name"
 
 
+def number_type(df: DataFrame, columns: Sequence[str]) -> str:
+    """``bigint`` if all the columns hold whole numbers, else ``double``."""
+    return "bigint" if all(isinstance(df.schema[c].dataType, IntegralType) for c in columns) else "double"
+
+
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value) rows of whole-number columns, NULLs left out."""
+    """(column_name, value) rows of numeric columns, NULLs left out."""
+    kind = number_type(df, columns)
     pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias(_GROUP), F.col(c).cast("bigint").alias("value"))
-            for c in columns
-        ]
+        *[F.struct(F.lit(c).alias(_GROUP), F.col(c).cast(kind).alias("value")) for c in columns]
     )
     return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
 

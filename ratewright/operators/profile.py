@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewright.functions.frames import rows_from, with_total
-from ratewright.functions.order_stats import exact_quantiles, long_values
+from ratewright.functions.order_stats import exact_quantiles, long_values, number_type
 from ratewright.functions.ratios import percent
 from ratewright.functions.values import is_blank, legend, reads_as_integer
 
@@ -58,12 +58,12 @@ def value_counts(
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per whole-number column, in the listed order: range, exact median, zeros, negatives, NULLs."""
-    measures = []
+    """Per numeric column, in the listed order: range, exact median, zeros, negatives, NULLs."""
+    kind, measures = number_type(df, columns), []
     for c in columns:
         measures += [
-            F.min(c).cast("bigint").alias(f"{c}:min"),
-            F.max(c).cast("bigint").alias(f"{c}:max"),
+            F.min(c).cast(kind).alias(f"{c}:min"),
+            F.max(c).cast(kind).alias(f"{c}:max"),
             F.count_if(F.col(c) == 0).alias(f"{c}:zero"),
             F.count_if(F.col(c) < 0).alias(f"{c}:negative"),
             F.count_if(F.col(c).isNull()).alias(f"{c}:null"),
@@ -125,7 +125,7 @@ def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float]) ->
             for name, p in probabilities.items()
         ]
     )
-    largest = df.agg(F.max(column).cast("bigint").alias("max_value"))
+    largest = df.agg(F.max(column).cast(number_type(df, [column])).alias("max_value"))
     return wide.crossJoin(F.broadcast(largest))
 
 

@@ -37,11 +37,12 @@ def prefix_lookup(
     df: DataFrame, code: str, length: int, lookup: DataFrame, name: str = "sector"
 ) -> DataFrame:
     """Add the name the code's prefix stands for, NULL where unknown. Many prefixes may share
-    a name. The lookup is a short code list, one row per prefix of ``length`` characters."""
+    a name. The lookup has one row per prefix of ``length`` characters; its size decides how it
+    is joined."""
     key, value = lookup.columns
     listed = lookup.select(F.col(key).cast("string").alias("_prefix"), F.col(value).alias(name))
     prefix = F.substring(F.col(code).cast("string"), 1, length)
-    return df.join(F.broadcast(listed), prefix == F.col("_prefix"), "left").drop("_prefix")
+    return df.join(listed, prefix == F.col("_prefix"), "left").drop("_prefix")
 
 
 def with_measures(df: DataFrame, r: Roles) -> DataFrame:

@@ -90,12 +90,6 @@ def sector_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SECTORS, LOOKUP_SCHEMA)
 
 
-MOST_PREFIXES = 10_000
-
-
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """A lookup from CSV. Lookups are broadcast, so one too long for a code list is refused."""
-    lookup = read_csv(spark, path, LOOKUP_SCHEMA)
-    if lookup.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
-        raise ValueError(f"a lookup may have at most {MOST_PREFIXES} prefixes: {path}")
-    return lookup
+    """A lookup from CSV, one row per prefix."""
+    return read_csv(spark, path, LOOKUP_SCHEMA)

@@ -37,3 +37,13 @@ def test_lookup_too_long_is_refused(spark, tmp_path):
     path.write_text("sector_code,sector\n" + "".join(f"{i},x\n" for i in range(10_001)))
     with pytest.raises(ValueError):
         read_lookup(spark, str(path))
+
+
+def test_quantiles_keep_fractions(spark):
+    from ratewright.operators.profile import numeric_profile, quantiles
+
+    df = spark.createDataFrame([(0.2,), (0.5,), (0.9,), (None,)], "x double")
+    row = quantiles(df, "x", {"p50": 0.5, "p75": 0.75}).collect()[0]
+    assert (row["p50"], round(row["p75"], 9), row["max_value"]) == (0.5, 0.7, 0.9)
+    row = numeric_profile(df, ["x"]).collect()[0]
+    assert (row["min_value"], row["median_value"], row["max_value"], row["n_null"]) == (0.2, 0.5, 0.9, 1)
