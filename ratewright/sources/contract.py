@@ -6,6 +6,7 @@ Codes and damaged count columns stay text; everything that is summed is BIGINT.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewright.sources.files import read_csv
@@ -87,7 +88,8 @@ SECTORS = [
 
 
 def sector_lookup(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SECTORS, LOOKUP_SCHEMA)
+    """The fixed list above; broadcast, as its size is known."""
+    return F.broadcast(spark.createDataFrame(SECTORS, LOOKUP_SCHEMA))
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -10,12 +10,12 @@ PREFIXES = [("1", "first"), ("2", "first"), ("3", "third"), ("4", "fourth")]
 
 
 def prefix_lookup_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PREFIXES, "sector_code string, sector string")
+    return F.broadcast(spark.createDataFrame(PREFIXES, "sector_code string, sector string"))
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """Inner joins on the parents' keys. Join strategy is left to the optimizer, which knows
-    the sizes; nothing is broadcast by hand."""
+    the sizes; only the fixed prefix list is broadcast by hand."""
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
