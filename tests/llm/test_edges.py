@@ -118,6 +118,21 @@ def test_line_dedup(docs, none):
     assert rows(line_dedup.removed_lines(none)) == [] and rows(line_dedup.remove(none)) == []
 
 
+def test_line_dedup_at_the_widths_of_sketches(spark):
+    """Pairs just at and just below 0.8, with sketches of the same and of different widths."""
+    texts = []
+    for n in (50, 64, 72, 80, 190, 200, 240, 400):
+        line = [f"v{n}x{i}" for i in range(n)]
+        least = -(-4 * n // 5)
+        swapped = n // 9
+        other = [f"u{n}x{i}" for i in range(swapped + 1)]
+        for variant in (line, line[:least], line[: least - 1], line[swapped:] + other[:swapped], line[swapped + 1 :] + other):
+            texts.append((len(texts), " ".join(variant)))
+    got = rows(line_dedup.removed_lines(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {r[0]: (r[2], r[3]) for r in got} == brute.removed_lines(texts)
+    assert 0 < sum(len(r[3]) for r in got) < len(texts)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     vectors = quality.word_vectors(docs)
