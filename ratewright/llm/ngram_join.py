@@ -25,9 +25,13 @@ from ratewright.llm.components import components
 WORDS = 5
 #: A shingle of at least so many documents comes last in the global order.
 FREQUENT = 64
-#: Bits of the two maps (shingles of several documents, frequent ones): a fixed size. What falls
-#: on another's bit is only ordered later or not left out; results do not change.
+#: Two maps of a fixed size tell the shingles of several documents and the frequent ones. What
+#: falls on another's bit is only ordered later or not left out; results do not change. Prefixes
+#: hold a fifth of a set, nearly all from the first quarter of the hashes, so that quarter has 2 **
+#: MAP_BITS bits, and the rest of the hashes a quarter of its density. The map of the frequent
+#: has one bit for two of these.
 MAP_BITS = 26
+SHARED_GRAIN, FREQUENT_GRAIN = 0, 1
 CHUNK_BYTES = 4_000_000
 FLUSH = 2_000_000
 REMEMBERED = 500_000
@@ -150,25 +154,36 @@ class Order:
         self.shared, self.frequent = shared, frequent
 
     @staticmethod
-    def has(bits: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-        at = (shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    def place(shingles: np.ndarray, grain: int) -> np.ndarray:
+        """The bit of a shingle; it never falls as the hash grows."""
+        quarter = np.uint64(1 << 62)
+        early = shingles >> np.uint64(62 - MAP_BITS)
+        late = (shingles - quarter) >> np.uint64(64 - MAP_BITS)
+        return np.where(shingles < quarter, early, late + np.uint64(1 << MAP_BITS)).astype(np.int64) >> grain
+
+    @staticmethod
+    def has(bits: np.ndarray, shingles: np.ndarray, grain: int) -> np.ndarray:
+        at = Order.place(shingles, grain)
         return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
+    def in_several(self, shingles: np.ndarray) -> np.ndarray:
+        return self.has(self.shared, shingles, SHARED_GRAIN)
+
     def common(self, shingles: np.ndarray) -> np.ndarray:
         """The shingles of several documents, in order."""
-        return self.arrange(shingles[self.has(self.shared, shingles)])
+        return self.arrange(shingles[self.in_several(shingles)])
 
     def arrange(self, shingles: np.ndarray) -> np.ndarray:
-        late = self.has(self.frequent, shingles)
+        late = self.has(self.frequent, shingles, FREQUENT_GRAIN)
         return np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
 
 
 def global_order(docs: DataFrame) -> Order:
     """Count the documents of every shingle. A part of the hash range is counted at a time; each
-    gives back its slice of the two maps, 2 ** MAP_BITS bits in all whatever the input."""
+    gives back its slice of the two maps, 21 MiB in all whatever the input."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(16, max(6, int(np.ceil(np.log2(4 * partitions)))))
-    parts, width = 1 << part_bits, 1 << (MAP_BITS - part_bits)
+    parts = 1 << part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(), [], 0
@@ -203,10 +218,12 @@ def global_order(docs: DataFrame) -> Order:
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))[: len(every)]
         times = np.diff(np.append(first, len(every)))
         part = keys[0].as_py()
+        ends = np.array([part << (64 - part_bits), ((part + 1) << (64 - part_bits)) - 1], np.uint64)
         maps = []
-        for least in (2, FREQUENT):
-            bits = np.zeros(width, bool)
-            bits[(every[first[times >= least]] >> np.uint64(64 - MAP_BITS)).astype(np.int64) - part * width] = True
+        for least, grain in ((2, SHARED_GRAIN), (FREQUENT, FREQUENT_GRAIN)):
+            start, last = Order.place(ends, grain)
+            bits = np.zeros(last - start + 1, bool)
+            bits[Order.place(every[first[times >= least]], grain) - start] = True
             maps.append(np.packbits(bits, bitorder="little").tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], names=["part", "shared", "frequent"]
@@ -219,11 +236,14 @@ def global_order(docs: DataFrame) -> Order:
         .groupBy("part")
         .applyInArrow(count, "part int, shared binary, frequent binary")
     )
-    maps = np.zeros((2, parts, max(1, width // 8)), np.uint8)
+    whole = Order.place(np.array([(1 << 64) - 1], np.uint64), 0)[0] + 1
+    shared, frequent = (np.zeros((whole >> grain) // 8, np.uint8) for grain in (SHARED_GRAIN, FREQUENT_GRAIN))
     for row in counted.toLocalIterator():
-        maps[0, row["part"]] = np.frombuffer(row["shared"], np.uint8)
-        maps[1, row["part"]] = np.frombuffer(row["frequent"], np.uint8)
-    return Order(maps[0].reshape(-1), maps[1].reshape(-1))
+        start = np.array([row["part"] << (64 - part_bits)], np.uint64)
+        for bits, grain, blob in ((shared, SHARED_GRAIN, row["shared"]), (frequent, FREQUENT_GRAIN, row["frequent"])):
+            at = Order.place(start, grain)[0] // 8
+            bits[at : at + len(blob)] = np.frombuffer(blob, np.uint8)
+    return Order(shared, frequent)
 
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
@@ -247,7 +267,7 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
                         seen.clear()
                     seen.add(key)
                     prefix = order.value.arrange(shingles)[: n - (4 * n + 4) // 5 + 1]
-                    at = np.flatnonzero(order.value.has(order.value.shared, prefix))
+                    at = np.flatnonzero(order.value.in_several(prefix))
                     if len(at):
                         out.append((prefix[at].view(np.int64), np.full(len(at), key[0]), np.full(len(at), key[1]), np.full(len(at), n), at))
                 if out:
