@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _SERIES_LIMIT = 200  # degrees of freedom up to which the finite series is used
 _TERMS = 80
+_HALVINGS = 60  # of the angle between 0 and a right one: below the last digit of a double
 
 
 def _series(start: Column, count: Column, factor) -> Column:
@@ -28,6 +29,24 @@ def _series(start: Column, count: Column, factor) -> Column:
     return F.aggregate(steps, first, extend, lambda acc: acc["total"])
 
 
+def _finite_series(cosine: Column, even: Column, dof: Column) -> Column:
+    """The sum in P(|T| <= t) for whole degrees of freedom, with cos(atan(t / sqrt(dof)))."""
+
+    def ratio(j: Column) -> Column:
+        odd_step = 2.0 * j / (2.0 * j + 1.0)
+        return F.when(even, (2.0 * j - 1.0) / (2.0 * j)).otherwise(odd_step) * cosine * cosine
+
+    start = F.when(even, F.lit(1.0)).otherwise(cosine)
+    return _series(start, F.floor(F.when(even, dof - 2).otherwise(dof - 3) / 2), ratio)
+
+
+def _within(angle: Column, sine: Column, total: Column, even: Column, dof: Column) -> Column:
+    """P(|T| <= t) from the sum of the finite series."""
+    return F.when(even, sine * total).otherwise(
+        (2.0 / math.pi) * (angle + F.when(dof == 1, F.lit(0.0)).otherwise(sine * total))
+    )
+
+
 def with_two_sided_p(table: DataFrame, t: Column, df: Column, name: str) -> DataFrame:
     """Add P(|T| >= |t|) for whole degrees of freedom; NULL where t is NULL or df is below 1.
 
@@ -37,17 +56,7 @@ def with_two_sided_p(table: DataFrame, t: Column, df: Column, name: str) -> Data
     size, dof, y, z = F.col("_t"), F.col("_df"), F.col("_y"), F.col("_z")
     cosine, even = F.col("_cos"), F.col("_even")
 
-    start = F.when(even, F.lit(1.0)).otherwise(cosine)
-    count = F.floor(F.when(even, dof - 2).otherwise(dof - 3) / 2)
-    tail = F.lit(1.0) - F.when(even, F.col("_sin") * F.col("_sum")).otherwise(
-        (2.0 / math.pi)
-        * (F.col("_angle") + F.when(dof == 1, F.lit(0.0)).otherwise(F.col("_sin") * F.col("_sum")))
-    )
-
-    def ratio(j: Column) -> Column:
-        odd_step = 2.0 * j / (2.0 * j + 1.0)
-        return F.when(even, (2.0 * j - 1.0) / (2.0 * j)).otherwise(odd_step) * cosine * cosine
-
+    tail = F.lit(1.0) - _within(F.col("_angle"), F.col("_sin"), F.col("_sum"), even, dof)
     a = dof - 0.5
     scale = 48.0 * a * a
     correction = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + scale)
@@ -74,7 +83,7 @@ def with_two_sided_p(table: DataFrame, t: Column, df: Column, name: str) -> Data
         )
         .withColumns(
             {
-                "_sum": F.when(exact, _series(start, count, ratio)),
+                "_sum": F.when(exact, _finite_series(cosine, even, dof)),
                 "_density": F.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi),
             }
         )
@@ -87,10 +96,28 @@ def with_two_sided_p(table: DataFrame, t: Column, df: Column, name: str) -> Data
 
 
 def central_quantile(confidence: float, df: Column) -> Column:
-    """t with P(|T| <= t) = confidence, by the expansion in 1/df; exact enough from df 30."""
+    """t with P(|T| <= t) = confidence, for whole degrees of freedom; NULL below 1.
+
+    Up to 200 degrees of freedom the finite series is inverted by halving the range of
+    atan(t / sqrt(df)); beyond them the expansion in 1/df is right to nine digits.
+    """
+    n = F.when(df >= 1, df.cast("double"))
+    even = F.pmod(n, F.lit(2.0)) == 0
+
+    def halve(ends: Column, _) -> Column:
+        angle = (ends["low"] + ends["high"]) / 2.0
+        below = _within(angle, F.sin(angle), _finite_series(F.cos(angle), even, n), even, n) < confidence
+        return F.struct(
+            F.when(below, angle).otherwise(ends["low"]).alias("low"),
+            F.when(below, ends["high"]).otherwise(angle).alias("high"),
+        )
+
+    widest = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi / 2).alias("high"))
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), widest, halve, lambda ends: ends["low"])
+
     z = NormalDist().inv_cdf(0.5 + confidence / 2.0)
-    n = df.cast("double")
     first = (z**3 + z) / 4.0
     second = (5 * z**5 + 16 * z**3 + 3 * z) / 96.0
     third = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0
-    return F.lit(z) + first / n + second / (n * n) + third / (n * n * n)
+    expansion = F.lit(z) + first / n + second / (n * n) + third / (n * n * n)
+    return F.when(n <= _SERIES_LIMIT, F.tan(angle) * F.sqrt(n)).otherwise(expansion)

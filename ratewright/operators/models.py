@@ -50,7 +50,8 @@ def ols_fixed_effects(
         F.sum("syy").alias("syy"),
         between.alias("between"),
     )
-    sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
+    # a perfect fit may come out a last digit below 0
+    sse = F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
     slope = F.try_divide(F.col("sxy"), F.col("sxx"))
     measured = fit.select(
         "n",

@@ -44,11 +44,44 @@ def test_no_degrees_of_freedom(spark):
     assert tail(spark, 2.5, 0) is None
 
 
-def test_quantile(spark):
-    got = [
-        spark.range(1).select(central_quantile(0.95, F.lit(df))).collect()[0][0] for df in (30, 100, 10**6)
-    ]
-    assert got == pytest.approx([2.042272456, 1.983971519, 1.959966356], abs=2e-6)
+def quantile(spark, df, confidence=0.95):
+    return spark.range(1).select(central_quantile(confidence, F.lit(df))).collect()[0][0]
+
+
+@pytest.mark.parametrize(
+    "df,t",
+    [
+        # Two-sided 5 per cent points of Student's t.
+        (1, 12.706204736),
+        (2, 4.302652730),
+        (3, 3.182446305),
+        (5, 2.570581836),
+        (10, 2.228138852),
+        (30, 2.042272456),
+        (100, 1.983971519),
+        (10**6, 1.959966356),
+    ],
+)
+def test_quantile(spark, df, t):
+    assert quantile(spark, df) == pytest.approx(t, abs=2e-6)
+
+
+@pytest.mark.parametrize("df", [1, 4, 200, 201])
+def test_quantile_inverts_the_tail(spark, df):
+    for confidence in (0.5, 0.99):
+        assert tail(spark, quantile(spark, df, confidence), df) == pytest.approx(1 - confidence, rel=1e-6)
+
+
+def test_no_quantile_without_degrees_of_freedom(spark):
+    assert quantile(spark, 0) is None
+
+
+def test_perfect_fit_has_no_negative_error(spark):
+    rows = [("a", w, 0.1 + 0.7 * math.log(w)) for w in range(1, 40)]
+    df = spark.createDataFrame(rows, "g string, w long, y double")
+    fit = ols_fixed_effects(df, "y", F.log("w"), "g").collect()[0]
+    assert fit["std_error"] == pytest.approx(0, abs=1e-6)
+    assert fit["slope"] == pytest.approx(0.7)
 
 
 @pytest.fixture(scope="module")
