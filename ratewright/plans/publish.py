@@ -37,6 +37,21 @@ def load_raw(spark: SparkSession, path: str, quoted_newlines: bool = False) -> D
     return files.read_csv(spark, path, contract.RAW_SCHEMA, quoted_newlines)
 
 
+def loaded(raw: DataFrame, expected_rows: int) -> DataFrame:
+    """Rows loaded against rows announced; computing it raises where they differ. Columns that are
+    missing, moved or added stop the reader already, as it holds the header against the schema."""
+    found = raw.agg(F.count(F.lit(1)).alias("n"))
+    announced = raw.sparkSession.range(1).select(F.lit(expected_rows).cast("bigint").alias("n"))
+    return rules.reconcile({"rows loaded": (found, announced)}, strict=True)
+
+
+def submitted_once(staged: DataFrame) -> DataFrame:
+    """No row is dropped as an older submission; computing it raises where one is."""
+    older = staged.agg(F.count_if(F.col("drop_step") == 2).alias("n"))
+    none = staged.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n"))
+    return rules.reconcile({"older submissions": (older, none)}, strict=True)
+
+
 def accounted(staged: DataFrame, raw: DataFrame, study: Study) -> DataFrame:
     """The waterfall against the raw row count; computing it raises where they differ."""
     dropped = rules.waterfall(staged, study.limits.rules).agg(F.sum("rows_dropped").alias("n"))
@@ -101,11 +116,21 @@ def publish(
     out: str,
     lookup_path: str | None = None,
     quoted_newlines: bool = False,
+    expected_rows: int | None = None,
+    expect_single_submissions: bool = False,
 ) -> dict[str, str]:
-    """Run everything; returns the path of each table written."""
+    """Run everything; returns the path of each table written.
+
+    Stops before any result if the file has not ``expected_rows`` rows, or if units were to
+    submit once (``expect_single_submissions``) and one did not.
+    """
     study = establishment_study(spark, lookup_path)
     raw = land(load_raw(spark, raw_path, quoted_newlines), "raw", f"{out}/raw")
+    if expected_rows is not None:
+        loaded(raw, expected_rows).write.format("noop").mode("overwrite").save()
     staged = land(study.stage(raw), "staged", f"{out}/staged")
+    if expect_single_submissions:
+        submitted_once(staged).write.format("noop").mode("overwrite").save()
     accounted(staged, raw, study).write.format("noop").mode("overwrite").save()
     clean = land(study.clean(staged), "clean", f"{out}/clean")
 

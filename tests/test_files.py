@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from rows import EDGES, edge_frame
 
-from ratewright.plans.publish import load_raw, publish
+from ratewright.plans.publish import establishment_study, load_raw, loaded, publish, submitted_once
 from ratewright.plans.study import EXPORT_COLUMNS
 from ratewright.sources import catalog, contract, files, records
 
@@ -143,3 +143,28 @@ def test_publish(spark, raw_csv, tmp_path):
         "rank_by_rate", "rank_by_count", "note",
     ]
     assert read("model_stats").count() == 9 and read("audit").count() == 12
+
+
+@pytest.mark.parametrize(
+    "wanted, message",
+    [({"expected_rows": len(EDGES) + 1}, "rows loaded"), ({"expect_single_submissions": True}, "older submissions")],
+)
+def test_publish_stops(spark, raw_csv, tmp_path, wanted, message):
+    with pytest.raises(Exception, match=f"does not reconcile: {message}"):
+        publish(spark, raw_csv, str(tmp_path / "out"), **wanted)
+    assert not (tmp_path / "out" / "tables").exists()
+
+
+def test_publish_gates_let_a_whole_file_pass(spark, raw_csv):
+    raw = load_raw(spark, raw_csv)
+    assert loaded(raw, len(EDGES)).collect()[0]["matches"]
+    staged = establishment_study(spark).stage(raw)
+    assert submitted_once(staged.where("submission_rank = 1")).collect()[0]["matches"]
+
+
+def test_moved_column_stops_the_load(spark, raw_csv, tmp_path):
+    raw = spark.read.option("header", True).csv(raw_csv)
+    moved = raw.select(*raw.columns[1:], raw.columns[0])
+    files.write_csv(moved, str(tmp_path / "moved"))
+    with pytest.raises(Exception):
+        load_raw(spark, str(tmp_path / "moved")).collect()
