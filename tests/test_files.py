@@ -166,5 +166,5 @@ def test_moved_column_stops_the_load(spark, raw_csv, tmp_path):
     raw = spark.read.option("header", True).csv(raw_csv)
     moved = raw.select(*raw.columns[1:], raw.columns[0])
     files.write_csv(moved, str(tmp_path / "moved"))
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="(?i)header does not conform"):
         load_raw(spark, str(tmp_path / "moved")).collect()
