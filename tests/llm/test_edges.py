@@ -231,3 +231,26 @@ def test_tree_equals_counting():
     for probe in sets:
         want = [i for i, s in enumerate(sets) if len(np.intersect1d(s, probe)) >= ngram_join.least_overlap(len(s), len(probe))]
         assert sorted(tree.similar(probe, len(probe))) == want
+
+
+def test_the_order_knows_every_shared_shingle(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[50:300]), "a text of seven words that is alone", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    order = ngram_join.global_order(docs)
+    with np.errstate(over="ignore"):
+        whole, part, alone = (ngram_join.Shingler().of(texts[i].encode()) for i in range(3))
+    shared = np.intersect1d(whole, part)
+    assert len(shared) == 246 and order.in_several(shared).all()
+    assert not order.in_several(np.concatenate([np.setdiff1d(whole, shared), alone])).any()
+    assert (order.common(whole) == shared).all()
+
+
+def test_places_follow_the_hash():
+    hashes = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    edges = np.array([0, (1 << 62) - 1, 1 << 62, (1 << 64) - 1], np.uint64)
+    for grain in (ngram_join.SHARED_GRAIN, ngram_join.FREQUENT_GRAIN):
+        places = ngram_join.Order.place(np.sort(np.concatenate([hashes, edges])), grain)
+        assert (np.diff(places) >= 0).all() and places[0] == 0
+        first, last = ngram_join.Order.place(edges[1:3], grain)
+        assert last == first + 1 == (1 << ngram_join.MAP_BITS) >> grain
