@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.llm import (
+    alignment,
     decontamination,
     embedding_dedup,
     language_id,
@@ -15,11 +16,14 @@ from ratewright.llm import (
     ngram_join,
     packing,
     quality,
+    spelling,
     token_counts,
+    token_files,
     url_filters,
     warc,
 )
 from ratewright.llm.common import table
+from ratewright.session import new_shared_path
 
 #: The rules every page is judged by: host, path, verdict.
 RULES = [
@@ -30,6 +34,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +92,27 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.group(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL)
+    found = alignment.align_with_counts(table(spark, folder, "documents"), *files, digest=True)
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select("doc_id", *counts, F.col("groups").alias("groups_sha256"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_shared_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), public_tokenizers.path(BYTE_VOCABULARY), path)
+    return token_files.digests(spark, path)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_embedding_dedup,
         op10_ngram_join,
+        op11_alignment,
+        op12_spelling,
+        op13_token_files,
         pipeline,
     )
 }

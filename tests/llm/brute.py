@@ -170,3 +170,128 @@ def least_padding(lengths, buckets):
             cost = sum(min(e for e in ends if e >= n) - n for n in lengths)
             best = cost if best is None else min(best, cost)
     return best
+
+
+def spelling(docs):
+    """word -> form, root, n, n_near, form_n."""
+    from collections import Counter
+
+    count = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+    return spelling_of(words)
+
+
+def near_words(words):
+    """word -> words one edit away, by all strings that a letter less leaves."""
+    less = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            less[w[:i], w[i + 1 :]].add(w)
+    shorter = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            if (x := w[:i] + w[i + 1 :]) in words:
+                shorter[w].add(x)
+    near = {w: set(shorter[w]) for w in words}
+    for w, xs in shorter.items():
+        for x in xs:
+            near[x].add(w)
+    for ws in less.values():
+        for w in ws:
+            near[w] |= ws - {w}
+    return near
+
+
+def spelling_of(words):
+    out, form = {}, {}
+    near = near_words(words)
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * n else None
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), words[form[w]] if form[w] is not None else None)
+    return out
+
+
+def alignment(docs):
+    """doc_id -> n_a, n_b, n_groups, n_links, n_best, count_sum, groups; unique doc_ids.
+
+    Every pair of tokens is looked at; their bytes come from the libraries' own offsets or pieces.
+    """
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_file.encode_special_tokens = True
+    b_file = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(b): b for b in shown}
+    back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def spans(ids, bytes_of):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(bytes_of(i)), i))
+            at = out[-1][1]
+        return out
+
+    def a_bytes(i):
+        return bytes(back[c] for c in a_file.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_file.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("\u2581", " ").encode()
+
+    links, groups, sizes, holds = {}, {}, {}, defaultdict(set)
+    for doc, text in docs:
+        links[doc], groups[doc], sizes[doc] = [], "", (0, 0, 0)
+        if not text:
+            continue
+        whole = (" " + text).encode()
+        a = spans(a_file.encode(" " + text, add_special_tokens=False).ids, a_bytes)
+        b = spans(b_file.encode(text), b_bytes)
+        if b"".join(a_bytes(i) for *_, i in a) != whole or b"".join(b_bytes(i) for *_, i in b) != whole:
+            continue
+        ends = sorted({e for _, e, _ in a} & {e for _, e, _ in b})
+        parts = [([], []) for _ in ends]
+        for which, side in enumerate((a, b)):
+            at = 0
+            for _, e, i in side:
+                at += e > ends[at]
+                parts[at][which].append(str(i))
+        parts = ["|".join(map(",".join, part)) for part in parts]
+        groups[doc], sizes[doc] = ";".join(parts), (len(a), len(b), len(ends))
+        j = 0
+        for s, e, i in a:
+            while b[j][1] <= s:
+                j += 1
+            k = j
+            while k < len(b) and b[k][0] < e:
+                links[doc].append((i, b[k][2]))
+                holds[i, b[k][2]].add(doc)
+                k += 1
+    count = {pair: len(held) for pair, held in holds.items()}
+    most = defaultdict(int)
+    for (i, _), n in count.items():
+        most[i] = max(most[i], n)
+    return {
+        doc: (
+            *sizes[doc],
+            len(found),
+            sum(count[p] == most[p[0]] for p in found),
+            sum(count[p] for p in found),
+            groups[doc],
+        )
+        for doc, found in links.items()
+    }
