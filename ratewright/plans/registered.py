@@ -567,6 +567,9 @@ def regression_input(t: Tables) -> DataFrame:
     )
 
 
+COUNTED = [
+    "slope", "std_error", "ci_low", "ci_high", "rate_ratio_per_doubling", "dispersion", "pearson_per_df",
+]
 FITTED = ["slope", "std_error", "ci_low", "ci_high", "p_value", "r_squared", "change_per_doubling"]
 
 
@@ -575,6 +578,12 @@ def ols_fixed_effects(t: Tables) -> DataFrame:
     return rounded(t.study.fit(t.clean), 7, *FITTED)
 
 
+@query
+def count_model(t: Tables) -> DataFrame:
+    fitted = rounded(t.study.count_fit(t.clean), 6, *COUNTED)
+    return fitted.withColumn("solved", F.col("largest_score") <= 1e-8).drop("largest_score")
+
+
 @query
 def doubling_share(t: Tables) -> DataFrame:
     shared = models.doubling_share(t.study.fit(t.clean), t.study.overall(t.clean))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratewright.functions.ranking import FLOOR, SLICES
 from ratewright.functions.values import banded
-from ratewright.operators import audit, composition, cube, models, rates, rules
+from ratewright.operators import audit, composition, count_model, cube, models, rates, rules
 from ratewright.operators.audit import Check
 from ratewright.operators import compare
 from ratewright.roles import Band, Limits, Roles
@@ -133,6 +133,11 @@ class Study:
             clean, "trir", F.log(F.col(self.roles.workers).cast("double")), self.roles.group
         )
 
+    def count_fit(self, clean: DataFrame) -> DataFrame:
+        """Counts of cases with the exposure as offset, in place of rates."""
+        size = F.log(F.col(self.roles.workers).cast("double"))
+        return count_model.count_model(clean, "recordable_cases", size, self.roles.exposure, self.roles.group)
+
     def model_stats(self, clean: DataFrame, cube_table: DataFrame) -> DataFrame:
         agreement = compare.spearman(self.ranked(clean), "rank_by_rate", "rank_by_count")
         gradient = cube.gradient_summary(self.shape(cube_table), self.roles.group)
