@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ratewright.functions.fingerprint import Bag, fingerprints, same_bags, union_of
 from ratewright.functions.frames import rows_from
 from ratewright.functions.ranking import FLOOR, SLICES, numbered_in_group
 from ratewright.functions.ratios import RATE_SCALE, scaled, sum_cases, where_positive
@@ -175,6 +176,48 @@ def reconcile(parts: Mapping[str, tuple[DataFrame, DataFrame]], strict: bool = F
     )
 
 
+def reconcile_rows(
+    raw: DataFrame,
+    staged: DataFrame,
+    clean: DataFrame,
+    exported: DataFrame,
+    cube: DataFrame,
+    published_cube: DataFrame,
+) -> DataFrame:
+    """Row for row: staged is raw, kept and dropped are raw, clean is what staging kept, the export
+    read back is clean, the cube read back is the cube. Each table is read once; a row changed,
+    lost, doubled or swapped for another is found though counts and sums agree.
+    """
+    given, kept = raw.columns, F.col("drop_step").isNull()
+    tables = [
+        fingerprints(raw, {"raw": Bag(given)}),
+        fingerprints(
+            staged,
+            {
+                "staged": Bag(given),
+                "kept": Bag(given, kept),
+                "dropped": Bag(given, ~kept),
+                "kept_staged": Bag(staged.columns, kept),
+            },
+        ),
+        fingerprints(clean, {"clean": Bag(staged.columns), "to_export": Bag(exported.columns)}),
+        fingerprints(exported, {"exported": Bag(exported.columns)}, dict(clean.dtypes)),
+        fingerprints(cube, {"cube": Bag(cube.columns)}),
+        fingerprints(published_cube, {"published": Bag(cube.columns)}, dict(cube.dtypes)),
+    ]
+    c = F.col
+    return same_bags(
+        tables,
+        {
+            "staged rows are raw rows": (c("staged"), c("raw")),
+            "kept and dropped rows are raw rows": (union_of(c("kept"), c("dropped")), c("raw")),
+            "clean rows are kept rows": (c("clean"), c("kept_staged")),
+            "exported rows are clean rows": (c("exported"), c("to_export")),
+            "published cells are the cube": (c("published"), c("cube")),
+        },
+    )
+
+
 def _step_keys(r: Roles) -> dict[int, Column]:
     """Per rule, what makes a dropped row extreme; the smallest comes first, NULL before all."""
     return {

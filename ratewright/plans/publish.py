@@ -145,4 +145,20 @@ def publish(
         order=["sector", "size_band", "state"],
         spread_by=["establishment_id"],
     )
+    reconciled(spark, study, raw, staged, clean, written).write.mode("overwrite").parquet(f"{out}/reconcile_rows")
     return written
+
+
+def reconciled(
+    spark: SparkSession, study: Study, raw: DataFrame, staged: DataFrame, clean: DataFrame, written: dict[str, str]
+) -> DataFrame:
+    """Raw, staged, clean and what was written, row for row; computing it raises where a table does
+    not hold the rows it should."""
+    cells = study.cube(clean)
+    schema = clean.select(*EXPORT_COLUMNS).schema
+    exported = files.read_csv(spark, written["clean_export"], schema)
+    published = files.read_csv(spark, written["pivot_source"], cells.schema)
+    checked = rules.reconcile_rows(raw, staged, clean, exported, cells, published)
+    message = F.concat_ws(" ", F.lit("not the same rows:"), "check_name", "n_part", "n_whole")
+    same = F.when(F.col("same_rows"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return checked.withColumn("same_rows", same)

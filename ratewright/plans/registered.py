@@ -242,7 +242,7 @@ def invalid_code_values(t: Tables) -> DataFrame:
 
 @query
 def parse_coverage(t: Tables) -> DataFrame:
-    late = F.when(F.col("quantity") == 7, F.lit("Saturday, November 18, 2795")).otherwise(F.col("filed_txt"))
+    late = F.when(F.col("quantity") == 7, F.lit("the day after")).otherwise(F.col("filed_txt"))
     return audit.parse_coverage(t.raw.select(late.alias("filed_txt")), "filed_txt")
 
 
@@ -313,6 +313,19 @@ def reconcile(t: Tables) -> DataFrame:
     )
 
 
+@query
+def reconcile_rows(t: Tables) -> DataFrame:
+    """Export and cube as written to CSV and read again."""
+    exported, cells = cube.clean_export(t.clean, EXPORTED), t.study.cube(t.clean)
+    rows, table = new_shared_path(t.spark, "export"), new_shared_path(t.spark, "cube")
+    files.write_export(exported, rows, ["grp", "size_band", "region_grp"], ["unit_id"])
+    files.write_result(cells, table, ["grp", "size_order", "region_grp"])
+    return rules.reconcile_rows(
+        t.raw, t.staged, t.clean,
+        files.read_csv(t.spark, rows, exported.schema), cells, files.read_csv(t.spark, table, cells.schema),
+    )
+
+
 @query
 def examples_per_step(t: Tables) -> DataFrame:
     keep = [*ROW, "workers", "exposure", "recordable_cases"]

@@ -36,10 +36,10 @@ EDGES = {
     "older filing": (row(4, establishment_id="D1", created_timestamp="2/27/2026"), 2),
     "newer filing": (row(5, establishment_id="D1", created_timestamp="03/01/2026"), None),
     "unparsable, lower id": (
-        row(6, establishment_id="D2", created_timestamp="Saturday, November 18, 2795"), 2,
+        row(6, establishment_id="D2", created_timestamp="the day after"), 2,
     ),
     "unparsable, higher id": (
-        row(7, establishment_id="D2", created_timestamp="Tuesday, November 10, 2809"), None,
+        row(7, establishment_id="D2", created_timestamp="no day at all"), None,
     ),
     "unparsable loses to a date": (row(9, establishment_id="D3", created_timestamp="soon"), 2),
     "date beats higher id": (row(8, establishment_id="D3", created_timestamp="1/1/2026"), None),
@@ -84,8 +84,8 @@ EDGES = {
     ),
     "right half": (
         tuple(
-            {"establishment_name": "Grand Prairie", "establishment_id": "TX",
-             "total_skin_disorders": "02MAR26:16:16:00", "total_hearing_loss": "Manufacturing",
+            {"establishment_name": "Old Harbour", "establishment_id": "TX",
+             "total_skin_disorders": "half past nine", "total_hearing_loss": "Manufacturing",
              "total_other_illnesses": "06854"}.get(n)
             for n in NAMES
         ),

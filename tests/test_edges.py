@@ -97,7 +97,7 @@ def test_uncastable(raw):
     assert [(r["raw_value"], r["n"], r["n_total"]) for r in bad] == [("Manufacturing", 1, 1)]
     assert profile.uncastable_values(raw, "total_other_illnesses").count() == 0  # 06854 is a number
     odd = profile.nonmatching_values(raw, "total_skin_disorders", "^[0-9]+$").collect()
-    assert [(r["raw_value"], r["len"]) for r in odd] == [("02MAR26:16:16:00", 16)]
+    assert [(r["raw_value"], r["len"]) for r in odd] == [("half past nine", 14)]
 
 
 def test_texts_that_cast(spark):
@@ -105,7 +105,7 @@ def test_texts_that_cast(spark):
     good = ["7", " 7 ", "\t7\n", "+5", "06854", "1.5", "1.", ".5", "-.5e2", "1e3", "1E3", "1_000",
             "9223372036854775807", "-9223372036854775808", "5e18"]
     bad = ["", "e3", "1e", "--5", "1 2", "1,000", "1.5.2", "1__0", "1._5", "inf", "nan", "true",
-           "1e19", "1e40", "9223372036854775808", "02MAR26:16:16:00"]
+           "1e19", "1e40", "9223372036854775808", "half past nine"]
     df = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
     found = {r["raw_value"] for r in profile.uncastable_values(df, "t").collect()}
     assert found == set(bad)
