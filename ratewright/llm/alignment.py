@@ -9,6 +9,7 @@ joined back to each document's links.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.byte_bpe import ByteBpe
+from ratewright.llm.byte_bpe import ByteBpe, loaded
 from ratewright.llm.common import fresh, land, pieces
 
 #: Pairs of the greatest counts that are broadcast, at most; the rarer ones are joined by shuffle.
@@ -71,6 +72,13 @@ class Side:
         return pd.DataFrame({"doc": doc, "start": np.cumsum(size) - size, name: flat, f"{name}_index": index})
 
 
+@functools.lru_cache(maxsize=1)
+def sides(byte_file: str, piece_file: bytes) -> tuple[ByteBpe, PieceModel, Side, Side]:
+    """Both tokenizers of two files' contents; a worker keeps them from task to task."""
+    bpe, model = loaded(byte_file, False), PieceModel(piece_file)
+    return bpe, model, Side(bpe.token_bytes(), b"|"), Side(model.token_bytes(), b";")
+
+
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """``doc, a, b`` of every pair of tokens whose bytes overlap.
 
@@ -126,11 +134,8 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, digest: bool
         file_b = context.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        bpe, model, side_a, side_b = sides(file_a.value, file_b.value)
         for batch in pieces(batches, BATCH_BYTES, "text"):
-            if bpe is None:
-                bpe, model = ByteBpe(file_a.value, special=False), PieceModel(file_b.value)
-                side_a, side_b = Side(bpe.token_bytes(), b"|"), Side(model.token_bytes(), b";")
             texts = batch.column(1).to_pylist()
             filled = [i for i, t in enumerate(texts) if t]
             good, ids_a, ids_b = [], [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import functools
 import json
 import os
 import re
@@ -11,8 +12,8 @@ import numpy as np
 
 from ratewright.llm.token_counts import byte_alphabet
 
-#: Pieces whose ids a task remembers at a time, and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+#: Pieces whose ids a worker remembers at a time, and the longest it remembers.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
 
 #: Characters on whose classes every Unicode version and pattern library agrees: ASCII's printable
 #: ones, tab and line ends, the Latin letters up to U+024F, and dashes, quotes and dots from
@@ -77,3 +78,10 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
         get = self.known.get
         return np.frombuffer(b"".join([get(p) or self.of_piece(p) for p in PIECE.findall(text)]), np.int32)
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(file: str, special: bool) -> ByteBpe:
+    """The vocabulary of a file's content; a worker keeps it, and the pieces it knows, from task to
+    task."""
+    return ByteBpe(file, special)

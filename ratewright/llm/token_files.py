@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ratewright.llm.byte_bpe import ByteBpe
+from ratewright.llm.byte_bpe import loaded
 from ratewright.llm.common import pieces, small, text_key
 
 ROW_GROUP_BYTES = 16 << 20
@@ -41,11 +41,11 @@ def encode(docs: DataFrame, vocabulary: str, end: int | None, files: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, place, bpe = TaskContext.get().partitionId(), 0, None
+        part, place = TaskContext.get().partitionId(), 0
+        bpe = loaded(shared.value, True)
         none = np.array([], np.int32)
         closing = none if end is None else np.array([end], np.int32)
         for batch in pieces(batches, 4_000_000, "text"):
-            bpe = bpe or ByteBpe(shared.value, special=True)
             bodies = [bpe.encode(text) if text else none for text in batch.column(1).to_pylist()]
             ids = np.concatenate([none, *(part for body in bodies for part in (body, closing))])
             counts = np.array([len(body) + len(closing) for body in bodies], np.int64)
