@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewright.functions.frames import rows_from, with_total
-from ratewright.functions.order_stats import exact_quantiles, long_values, number_type
+from ratewright.functions.order_stats import number_type, selected, sketches, targets
 from ratewright.functions.ratios import percent
 from ratewright.functions.values import is_blank, legend, reads_as_integer
 
@@ -58,8 +58,11 @@ def value_counts(
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per numeric column, in the listed order: range, exact median, zeros, negatives, NULLs."""
-    kind, measures = number_type(df, columns), []
+    """Per numeric column, in the listed order: range, exact median, zeros, negatives, NULLs.
+
+    Two scans, run when this is called; the driver gets a few numbers a column.
+    """
+    kind, measures = number_type(df, columns), sketches(df, columns, [0.5])
     for c in columns:
         measures += [
             F.min(c).cast(kind).alias(f"{c}:min"),
@@ -68,33 +71,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.count_if(F.col(c) < 0).alias(f"{c}:negative"),
             F.count_if(F.col(c).isNull()).alias(f"{c}:null"),
         ]
-    ranges = rows_from(
-        df.agg(*measures),
-        [
-            {
-                "column_order": F.lit(i).cast("bigint"),
-                "column_name": F.lit(c),
-                "min_value": F.col(f"`{c}:min`"),
-                "max_value": F.col(f"`{c}:max`"),
-                "n_zero": F.col(f"`{c}:zero`"),
-                "n_negative": F.col(f"`{c}:negative`"),
-                "n_null": F.col(f"`{c}:null`"),
-            }
-            for i, c in enumerate(columns, start=1)
-        ],
-    )
-    medians = exact_quantiles(long_values(df, columns), [0.5])
-    return (
-        ranges.join(
-            F.broadcast(medians.select("column_name", F.col("quantile").alias("median_value"))),
-            "column_name",
-            "left",
-        )
-        .select(
-            "column_order", "column_name", "min_value", "median_value", "max_value",
-            "n_zero", "n_negative", "n_null",
-        )
-        .orderBy("column_order")
+    found = df.agg(*measures).first()
+    medians = selected(df, columns, targets(found, columns, [0.5]))
+    rows = [
+        (i, c, found[f"{c}:min"], medians.get((c, 0.5)), *(found[f"{c}:{m}"] for m in ("max", "zero", "negative", "null")))
+        for i, c in enumerate(columns, start=1)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows,
+        f"column_order bigint, column_name string, min_value {kind}, median_value double, max_value {kind},"
+        " n_zero bigint, n_negative bigint, n_null bigint",
     )
 
 
@@ -117,16 +103,14 @@ def extreme_rows(
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float]) -> DataFrame:
-    """One row: exact interpolated quantiles under the given names, and the maximum."""
-    found = exact_quantiles(long_values(df, [column]), list(probabilities.values()))
-    wide = found.agg(
-        *[
-            F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name)
-            for name, p in probabilities.items()
-        ]
-    )
-    largest = df.agg(F.max(column).cast(number_type(df, [column])).alias("max_value"))
-    return wide.crossJoin(F.broadcast(largest))
+    """One row: exact interpolated quantiles under the given names, and the maximum. Two scans, run
+    when this is called."""
+    kind, shares = number_type(df, [column]), list(probabilities.values())
+    found = df.agg(*sketches(df, [column], shares), F.max(column).cast(kind).alias("max_value")).first()
+    values = selected(df, [column], targets(found, [column], shares))
+    names = ", ".join(f"`{name}` double" for name in probabilities)
+    row = (*(values.get((column, float(p))) for p in shares), found["max_value"])
+    return df.sparkSession.createDataFrame([row], f"{names}, max_value {kind}")
 
 
 def uncastable_values(df: DataFrame, column: str) -> DataFrame:
