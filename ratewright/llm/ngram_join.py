@@ -120,33 +120,6 @@ def least_overlap(n: int, m: int) -> int:
     return -(-4 * (n + m) // 9)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n, s1, s2, sketch``: size and sketch of each row's set, and the key of
-    its class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        with np.errstate(over="ignore"):
-            for batch in pieces(batches, CHUNK_BYTES, "text"):
-                sets = [shingler.of(t) for t in byte_texts(batch.column(2))]
-                keys = [class_key(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([k[0] for k in keys], pa.int64()),
-                        pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "text_key", "n", "s1", "s2", "sketch"],
-                )
-
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, s1 long, s2 long, sketch array<long>")
-
-
 class Order:
     """The global order: whether a shingle is in several documents, and whether in many."""
 
@@ -179,14 +152,14 @@ class Order:
 
 
 def global_order(docs: DataFrame) -> Order:
-    """Count the documents of every shingle. A part of the hash range is counted at a time; each
+    """Count the documents of every shingle, equal sets of a task once. A part of the hash range is counted at a time; each
     gives back its slice of the two maps, 21 MiB in all whatever the input."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(16, max(6, int(np.ceil(np.log2(4 * partitions)))))
     parts = 1 << part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(), [], 0
+        shingler, held, size, seen = Shingler(), [], 0, set()
 
         def flush() -> pa.RecordBatch:
             every = np.sort(np.concatenate(held))
@@ -201,8 +174,15 @@ def global_order(docs: DataFrame) -> Order:
         with np.errstate(over="ignore"):
             for batch in pieces(batches, CHUNK_BYTES, "text"):
                 for text in byte_texts(batch.column(0)):
-                    held.append(shingler.of(text))
-                    size += len(held[-1])
+                    shingles = shingler.of(text)
+                    key = class_key(shingles)
+                    if key in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    held.append(shingles)
+                    size += len(shingles)
                     if size >= FLUSH:
                         yield flush()
                         held, size = [], 0
@@ -246,39 +226,56 @@ def global_order(docs: DataFrame) -> Order:
     return Order(shared, frequent)
 
 
-def prefixes(docs: DataFrame, order) -> DataFrame:
-    """``shingle, s1, s2, n, at``: the prefix of each set, less shingles no other document has.
-    A task gives the rows of equal sets once."""
+def digests(docs: DataFrame, order) -> DataFrame:
+    """``doc_id, text_key, n, s1, s2, sketch, prefix, places`` of each row: size and sketch of its
+    set, the key of its class, and the shingles of its prefix less those no other set has, with
+    their places. A task gives the prefix of equal sets once; elsewhere the list is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
+        nothing = np.empty(0, np.int64)
         with np.errstate(over="ignore"):
             for batch in pieces(batches, CHUNK_BYTES, "text"):
-                out = []
-                for text in byte_texts(batch.column(0)):
+                sizes, keys, sketches, shown, places = [], [], [], [], []
+                for text in byte_texts(batch.column(2)):
                     shingles = shingler.of(text)
                     n = len(shingles)
-                    if not n:
-                        continue
-                    key = class_key(shingles)
-                    if key in seen:
+                    key = class_key(shingles) if n else (None, None)
+                    sizes.append(n)
+                    keys.append(key)
+                    sketches.append(sketch_of(shingles))
+                    if not n or key in seen:
+                        shown.append(nothing)
+                        places.append(nothing)
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(key)
                     prefix = order.value.arrange(shingles)[: n - (4 * n + 4) // 5 + 1]
                     at = np.flatnonzero(order.value.in_several(prefix))
-                    if len(at):
-                        out.append((prefix[at].view(np.int64), np.full(len(at), key[0]), np.full(len(at), key[1]), np.full(len(at), n), at))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in zip(*out)], names=["shingle", "s1", "s2", "n", "at"]
-                    )
+                    shown.append(prefix[at].view(np.int64))
+                    places.append(at)
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in shown])).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(sizes, pa.int64()),
+                        pa.array([k[0] for k in keys], pa.int64()),
+                        pa.array([k[1] for k in keys], pa.int64()),
+                        pa.array(sketches, pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([nothing, *shown]))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([nothing, *places]))),
+                    ],
+                    names=["doc_id", "text_key", "n", "s1", "s2", "sketch", "prefix", "places"],
+                )
 
-    return (
-        docs.where("text IS NOT NULL")
-        .select("text")
-        .mapInArrow(run, "shingle long, s1 long, s2 long, n long, at long")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        run,
+        f"doc_id {kind}, text_key long, n long, s1 long, s2 long, sketch array<long>,"
+        " prefix array<long>, places array<long>",
     )
 
 
@@ -446,10 +443,14 @@ def pairs_of(met: DataFrame, done: DataFrame | None, classes: DataFrame) -> Data
     )
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``s1, s2, component`` of all classes that are similar to another."""
-    order = docs.sparkSession.sparkContext.broadcast(global_order(docs))
-    rows = land(prefixes(docs, order), "prefixes").withColumn("component", F.struct("s1", "s2"))
+def linked_classes(docs: DataFrame, found: DataFrame, classes: DataFrame, order) -> DataFrame:
+    """``s1, s2, component`` of all classes that are similar to another. ``found`` are the landed
+    digests of ``docs``."""
+    prefixes = found.select(
+        F.inline(F.arrays_zip(F.col("prefix").alias("shingle"), F.col("places").alias("at"))), "s1", "s2", "n"
+    )
+    # a shingle in the prefixes of one class only makes no pair
+    rows = undecided(prefixes.withColumn("component", F.struct("s1", "s2")), ["shingle"])
     columns = ("s1", "s2", "n", "at", "component")
     smaller = F.struct("s1_a", "s2_a") < F.struct("s1_b", "s2_b")
     may_link = (F.col("component_a") != F.col("component_b")) & possible(
@@ -497,14 +498,15 @@ def groups_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n, s1, s2, component``, a row for each row of ``docs``; the last three
     are null without words, ``component`` is the smallest class key reachable."""
     docs = docs.select("doc_id", "text")
-    rows = land(digests(docs), "shingle-classes")
+    order = docs.sparkSession.sparkContext.broadcast(global_order(docs))
+    rows = land(digests(docs, order), "shingle-classes")
     classes = land(
         rows.where("n > 0")
         .groupBy("s1", "s2")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    linked = linked_classes(docs, classes)
+    linked = linked_classes(docs, rows, classes, order)
     return rows.join(linked, ["s1", "s2"], "left").select(
         "doc_id",
         "text_key",
