@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.operators import audit, compare, composition, cube, models, profile, rates, rules
+from ratewright.functions import many_ranks
+from ratewright.operators import audit, compare, composition, cube, late, lattice, models, profile, rates, rules
 from ratewright.plans.study import ORDER_LINE_LIMITS, ORDER_LINE_ROLES, Study
 from ratewright.session import land, new_shared_path
 from ratewright.sources import catalog, files, records
@@ -396,6 +397,12 @@ def spearman(t: Tables) -> DataFrame:
     return rounded(found, 9, "rho", "p_value")
 
 
+@query
+def rank_correlation(t: Tables) -> DataFrame:
+    """Size against rate, over all clean rows."""
+    return rounded(many_ranks.rank_correlation(t.clean, "workers", "trir"), 9, "rho")
+
+
 AVERAGED = ["trir_average_of_rates", "overstatement"]
 
 
@@ -511,6 +518,38 @@ def rollup_from_cube(t: Tables) -> DataFrame:
     return cube.rollup_from_cube(t.study.cube(t.clean), ["grp"])
 
 
+CELLS = ["grp", "size_band", "size_order", "region_grp"]
+
+
+@query
+def cube_lattice(t: Tables) -> DataFrame:
+    dimensions = {"group": ["grp"], "band": ["size_band", "size_order"], "region": ["region_grp"]}
+    found = lattice.cube_lattice(t.study.cube(t.clean), dimensions)
+    return shown(found, "size_order")
+
+
+def _filings(t: Tables) -> tuple[DataFrame, Column]:
+    """An order as a unit that files once a line; every other line comes in late."""
+    return t.raw.withColumn("unit_id", F.expr("unit_id div 10")), F.col("c1") % 2 == 1
+
+
+def _folded(t: Tables) -> late.Folded:
+    filings, lateness = _filings(t)
+    winners = land(late.latest(filings.filter(~lateness), R), "winners")
+    standing = land(late.standing_cube(winners, R, LIM, t.study.lookup, CELLS), "standing-cube")
+    return late.fold(winners, standing, filings.filter(lateness), R, LIM, t.study.lookup, CELLS)
+
+
+@query
+def late_filings(t: Tables) -> DataFrame:
+    return _folded(t).cube
+
+
+@query
+def late_winners(t: Tables) -> DataFrame:
+    return _folded(t).winners.select("unit_id", "period", "filed_txt", "part_id", "supp_id", "quantity")
+
+
 @query
 def sector_size_rates(t: Tables) -> DataFrame:
     return cube.sector_size_rates(t.study.cube(t.clean), "grp")
