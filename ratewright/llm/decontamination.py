@@ -4,7 +4,9 @@ A window is 13 consecutive words of an item. Its shingles are its runs of three
 by how rare they are in the documents. A window that occurs whole contains all its shingles, so
 its rarest one is a sufficient prefix: documents join on it. The shingle's place in the window
 gives the place of the window in the document; it has to fit in (positional and length bound),
-and then all its words are compared. Only DataFrame functions are used.
+and then all its words are compared. Few prefixes are broadcast and compared where the document
+lies; many are joined by shuffle to the documents' places alone, and each document's candidates
+then meet its words once. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import fresh, land, lower_ascii, small, text_key
+from ratewright.llm.common import BROADCAST_ROWS, fresh, land, lower_ascii, small, text_key
 
 WINDOW = 13
 SHINGLE = 3
@@ -48,7 +50,33 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
+def fitting(texts: DataFrame, prefix: DataFrame, length: int, few: bool) -> DataFrame:
+    """``doc_id, text_key, id, start, stop`` of every occurrence of a window in ``texts``."""
+    start = F.col("at") - F.col("offset")
+    inside = (F.col("shingle") == F.col("wanted")) & (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+
+    def here(at: Column, size: Column) -> Column:
+        return F.slice("words", at + 1, size)
+
+    if few:
+        met = occurrences(texts, length).join(
+            F.broadcast(prefix), inside & (here(start, F.col("size")) == F.col("window"))
+        )
+        return met.select("doc_id", "text_key", "id", start.alias("start"), (start + F.col("size")).alias("stop"))
+    places = occurrences(texts, length).select("row", "n_words", "at", "shingle")
+    candidates = (
+        places.join(prefix, inside)
+        .groupBy(F.col("row").alias("of_row"))
+        .agg(F.collect_list(F.struct(start.alias("start"), "size", "id", "window")).alias("candidates"))
+    )
+    met = texts.join(candidates, F.col("row") == F.col("of_row"))
+    right = F.filter("candidates", lambda c: here(c["start"], c["size"]) == c["window"])
+    return met.select("doc_id", "text_key", F.explode(right).alias("c")).select(
+        "doc_id", "text_key", "c.id", "c.start", (F.col("c.start") + F.col("c.size")).alias("stop")
+    )
+
+
+def judge(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated``, a row for each
     row of ``docs``.
 
@@ -62,7 +90,7 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     texts = land(
         docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words")).select(
-            "*", F.size("words").cast("long").alias("n_words")
+            "*", F.size("words").cast("long").alias("n_words"), F.monotonically_increasing_id().alias("row")
         ),
         "document-words",
     )
@@ -95,18 +123,8 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
             .select("id", "window", "size", F.col("rarest.shingle").alias("wanted"), F.col("rarest.offset").alias("offset"))
         )
         prefix = land(prefix, "prefixes")
-        start = F.col("at") - F.col("offset")
-        found = (
-            occurrences(texts.select("doc_id", "text_key", "words", "n_words"), length)
-            .join(
-                small(prefix),
-                (F.col("shingle") == F.col("wanted"))
-                & (start >= 0)
-                & (start + F.col("size") <= F.col("n_words"))
-                & (F.slice("words", start + 1, F.col("size")) == F.col("window")),
-            )
-            .select("doc_id", "text_key", "id", start.alias("start"), (start + F.col("size")).alias("stop"))
-        )
+        few = prefix.limit(broadcast_rows + 1).count() <= broadcast_rows
+        found = fitting(texts, prefix, length, few)
         hits = found if hits is None else hits.union(found)
 
     base = texts.select("doc_id", "text_key", "n_words")

@@ -1,9 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions against a list of rules.
 
-Each URL is expanded into every host suffix (cut at dots) joined with every prefix of its
-path that is as long as some rule's path. Expressions meet rules by the first 32 bits of
-their SHA-256, the full digest then confirms the rule, and of all rules that fit the longest
-decides.
+Each URL is expanded into the host suffixes that have as many labels as some rule's host, joined
+with the prefixes of its path that are as long as some rule's path, so a long host or path gives no
+more expressions than the rules have shapes. Expressions meet rules by the first 32 bits of their
+SHA-256, the full digest then confirms the rule, and of all rules that fit the longest decides.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+def expressions(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
+    """Host suffixes of these numbers of labels with path prefixes of these lengths."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(
+        F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in label_counts]).cast("array<string>"),
+        lambda s: s.isNotNull(),
     )
     lengths = F.array(*[F.lit(n) for n in path_lengths]).cast("array<int>")
     prefixes = F.transform(
@@ -66,8 +67,9 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
         )
         .distinct()
     )
-    # one whole number for each different length: at most the longest rule's path
+    # whole numbers: the different path lengths and numbers of host labels of the rules
     lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).collect()]
+    counts = [r[0] for r in rules.select(F.size(F.split("rule_host", r"\.", -1)).alias("n")).distinct().orderBy("n").collect()]
     digest = F.sha2(F.concat_ws("\0", "rule_host", "rule_path"), 256)
     listed = rules.withColumn("rule_digest", digest).withColumn("short", F.substring("rule_digest", 1, HASH_HEX))
 
@@ -76,7 +78,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     expanded = parsed.select(
         "*",
         F.posexplode(
-            F.concat(F.array(none), expressions(F.col("host"), F.col("path"), lengths))
+            F.concat(F.array(none), expressions(F.col("host"), F.col("path"), counts, lengths))
         ).alias("at", "expression"),
     ).withColumn(
         "digest",
@@ -86,11 +88,11 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
         ),
     )
     met = expanded.withColumn("short_hash", F.substring("digest", 1, HASH_HEX)).join(
-        small(listed), (F.col("short_hash") == F.col("short")) & (F.col("digest") == F.col("rule_digest")), "left"
+        small(listed), F.col("short_hash") == F.col("short"), "left"
     )
     best = F.max(
         F.when(
-            F.col("rule_digest").isNotNull(),
+            F.col("rule_digest") == F.col("digest"),
             F.struct(
                 (F.length("rule_host") + F.length("rule_path")).alias("size"),
                 F.length("rule_host").alias("host_size"),

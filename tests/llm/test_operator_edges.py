@@ -91,6 +91,29 @@ def test_decontamination(spark, docs, none):
     assert clean.columns == docs.columns and {r[0] for r in rows(clean)} == {3, 4, 5, 6, 8, 10, None}
 
 
+def test_decontamination_by_shuffle(spark):
+    """Beyond what may be broadcast, only places meet windows, not whole documents."""
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{n}" for n in rng.integers(0, 400, size))) for i, size in enumerate([0, 5, 30, 400, 6000, 6000])]
+    items = [(f"i{i}", " ".join(texts[4][1].split()[a:b])) for i, (a, b) in enumerate([(0, 40), (90, 103), (500, 508), (700, 702), (9, 10)])]
+    docs = spark.createDataFrame(texts + [(None, texts[4][1])], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    got = {r[0]: (r[2], *r[3:]) for r in rows(decontamination.judge(docs, table, broadcast_rows=0))}
+    assert got == brute.contamination(texts + [(None, texts[4][1])], items)
+
+
+def test_url_with_very_many_labels(spark):
+    """A host's expressions are bounded by the rules' shapes."""
+    rules = spark.createDataFrame(brute.RULES + [("a.b.net", "/", "block")], "host string, path string, verdict string")
+    hosts = ["x." * 20_000 + "a.b.net", "x." * 20_000 + "example.com", ".net", "net.", "." * 9, "b.net", "xnet"]
+    urls = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in enumerate(hosts)], "key long, url string")
+    got = {r[0]: (r[4], r[5]) for r in rows(url_filters.judge(urls, rules))}
+    listed = brute.RULES + [("a.b.net", "/", "block")]
+    assert got == {i: brute.url_verdict(f"http://{h}/en/x", listed)[2:] for i, h in enumerate(hosts)}
+    joins = url_filters.judge(urls, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [short_hash" in joins and "rule_digest" not in joins.split("Join [short_hash")[1].split("]")[1][:80]
+
+
 def test_url_filters(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?q", "http://example.com/en",
             "https://a.b.net/fr/?x#y", "http://net/es/a/b", "http://example.com", "x://y://z/", "http://example.com/en/"]
