@@ -129,3 +129,17 @@ def test_token_files(spark, texts):
         want[doc] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert {r[0]: r[1:] for r in got} == want and len(got) == len(texts)
+
+
+def test_sql(spark):
+    """Where there is SQL, it returns the query's rows."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from oracle_check import compare, connect
+
+    from ratewright.llm.oracle import ORACLE
+
+    con = connect(FOLDER)
+    assert {name: compare(spark, con, FOLDER, QUERIES[name], sql) for name, sql in ORACLE.items()} == dict.fromkeys(ORACLE, "")
