@@ -1,4 +1,7 @@
-"""SQL of the numbered operators that SQL can express, by plain definitions over whole tables."""
+"""SQL of the numbered operators that SQL can express, by plain definitions over whole tables.
+
+Whole numbers that may be NULL are doubles here, the form they take in a frame of the query's rows.
+"""
 
 from __future__ import annotations
 
@@ -61,7 +64,7 @@ OP6 = """WITH bodies AS (
 originals AS (SELECT body, MAX(page_id) AS original FROM bodies WHERE payload_bytes >= 1000 GROUP BY body)
 SELECT page_id, payload_bytes, sha1(b.body) AS payload_digest,
        CASE WHEN original > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN original > page_id THEN original END AS refers_to, TRUE AS complete
+       CASE WHEN original > page_id THEN original END::DOUBLE AS refers_to, TRUE AS complete
 FROM bodies b LEFT JOIN originals o ON o.body = b.body"""
 
 OP9 = f"""WITH RECURSIVE good AS MATERIALIZED (
@@ -133,7 +136,7 @@ forms AS MATERIALIZED (
 chain(word, here, step) AS (
   SELECT word, word, 0 FROM forms
   UNION ALL SELECT chain.word, decode(form), step + 1 FROM chain JOIN forms ON forms.word = chain.here WHERE form IS NOT NULL)
-SELECT f.word, decode(form) AS form, (SELECT arg_max(here, step) FROM chain WHERE chain.word = f.word) AS root, n, n_near, form_n
+SELECT f.word, decode(form) AS form, (SELECT arg_max(here, step) FROM chain WHERE chain.word = f.word) AS root, n, n_near, form_n::DOUBLE AS form_n
 FROM forms f"""
 
 ORACLE: dict[str, str] = {
