@@ -67,6 +67,28 @@ class Tables:
     def clean(self) -> DataFrame:
         return land(self.study.clean(self.staged), "clean")
 
+    # Result tables that others are read off: a row a group, or a row a cell.
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return land(self.study.cube(self.clean), "cube")
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return land(self.study.ranked(self.clean), "ranked")
+
+    @cached_property
+    def bands(self) -> DataFrame:
+        return land(self.study.bands(self.clean), "bands")
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return land(self.study.regions(self.clean), "regions")
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return land(self.study.overall(self.clean), "overall")
+
     @property
     def prepared(self) -> DataFrame:
         return self.study.prepared(self.raw)
@@ -133,6 +155,24 @@ def extreme_rows(t: Tables) -> DataFrame:
     )
 
 
+KEPT = ["exposure", "workers", "size_code", "region_grp", "code", "recordable_cases"]
+
+
+@query
+def extreme_rows_workers(t: Tables) -> DataFrame:
+    ties = [F.col(c).asc_nulls_first() for c in IDENTITY]
+    found = profile.extreme_rows(t.prepared, "workers", 8, ("exposure", "workers"), [*KEPT, *IDENTITY], ties)
+    return shown(found, "exposure")
+
+
+@query
+def extreme_rows_staged(t: Tables) -> DataFrame:
+    """The largest after staging, with the step that drops them."""
+    ties = [F.col(c).asc_nulls_first() for c in IDENTITY]
+    found = profile.extreme_rows(t.staged, "exposure", 5, ("exposure", "workers"), [*KEPT, "drop_step"], ties)
+    return shown(found, "drop_step", "workers")
+
+
 @query
 def quantiles(t: Tables) -> DataFrame:
     return rounded(profile.quantiles(t.raw, "exposure", PROBABILITIES), 6, *PROBABILITIES)
@@ -170,6 +210,34 @@ def schema_check(t: Tables) -> DataFrame:
     return catalog.schema_check(t.raw, OBSERVATION_SCHEMA)
 
 
+@query
+def schema_check_changed(t: Tables) -> DataFrame:
+    """A table with a column less, one more, one in another type and two that changed places."""
+    names = ["period", "unit_id", *[c for c in t.raw.columns[2:] if c != "price"]]
+    changed = t.raw.select(*names, F.col("quantity").alias("amount")).withColumn("c1", F.col("c1").cast("string"))
+    return shown(catalog.schema_check(changed, OBSERVATION_SCHEMA), "expected_ordinal", "ordinal", "n_values")
+
+
+@query
+def describe(t: Tables) -> DataFrame:
+    return catalog.describe(t.raw)
+
+
+@query
+def inferred_read(t: Tables) -> DataFrame:
+    """Rows as CSV, read with the types that all records together allow, and added up."""
+    read = files.infer_csv(t.spark, t.as_csv(t.raw, "inferred-csv"))
+    return read.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("quantity").alias("quantity"),
+        F.sum(F.col("exposure") * 2).alias("twice_exposure"),
+        F.count("workers").alias("n_workers"),
+        F.max("price").alias("max_price"),
+        F.min("c3").alias("min_c3"),
+        F.max(F.length("filed_txt")).cast("bigint").alias("longest_day"),
+    )
+
+
 @query
 def load_check(t: Tables) -> DataFrame:
     return catalog.load_check(t.raw, t.table("lineitem").agg(F.count(F.lit(1)).alias("n")))
@@ -276,6 +344,14 @@ def prefix_lookup(t: Tables) -> DataFrame:
     return named.groupBy("code", "sector").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def prefix_lookup_from_csv(t: Tables) -> DataFrame:
+    """The lookup from a file of its own."""
+    listed = files.read_csv(t.spark, t.as_csv(t.study.lookup, "lookup-csv"), t.study.lookup.schema)
+    named = rules.prefix_lookup(t.raw, "code", 1, listed)
+    return named.groupBy("code", "sector").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def first_fail(t: Tables) -> DataFrame:
     staged = t.study.stage(t.raw).select(*ROW, "sector", "recordable_cases", "drop_step")
@@ -297,19 +373,22 @@ def reconcile(t: Tables) -> DataFrame:
     def n(df: DataFrame, column: str | None = None) -> DataFrame:
         return df.agg((F.count(F.lit(1)) if column is None else F.sum(column)).alias("v"))
 
-    c, r = t.clean, t.study
-    exported = cube.clean_export(c, EXPORTED)
-    cases = n(c, "recordable_cases")
+    # one row a table, each from one scan
+    raw, kept = land(n(t.raw), "raw-count"), F.col("drop_step").isNull()
+    staged = land(t.staged.agg(F.count(F.lit(1)).alias("v"), F.count_if(kept).alias("kept")), "staged-count")
+    clean = land(t.clean.agg(F.count(F.lit(1)).alias("v"), F.sum("recordable_cases").alias("cases")), "clean-count")
+    whole = clean.select("v")
+    groups = "n_establishments"
     return rules.reconcile(
         {
-            "staged rows are raw rows": (n(t.staged), n(t.raw)),
-            "waterfall adds up to raw": (n(rules.waterfall(t.staged, LIM.rules), "rows_dropped"), n(t.raw)),
-            "groups add up to clean": (n(r.ranked(c), "n_establishments"), n(c)),
-            "bands add up to clean": (n(r.bands(c), "n_establishments"), n(c)),
-            "regions add up to clean": (n(r.regions(c), "n_establishments"), n(c)),
-            "export rows are clean rows": (n(exported), n(c)),
-            "cube rows add up to clean": (n(r.cube(c), "n_establishments"), n(c)),
-            "cube cases add up to clean": (n(r.cube(c), "total_cases"), cases),
+            "staged rows are raw rows": (staged.select("v"), raw),
+            "waterfall adds up to raw": (n(rules.waterfall(t.staged, LIM.rules), "rows_dropped"), raw),
+            "groups add up to clean": (n(t.ranked, groups), whole),
+            "bands add up to clean": (n(t.bands, groups), whole),
+            "regions add up to clean": (n(t.regions, groups), whole),
+            "export rows are clean rows": (n(cube.clean_export(t.clean, EXPORTED)), staged.select("kept")),
+            "cube rows add up to clean": (n(t.cube, groups), whole),
+            "cube cases add up to clean": (n(t.cube, "total_cases"), clean.select("cases")),
         }
     )
 
@@ -378,22 +457,22 @@ def insufficient_groups(t: Tables) -> DataFrame:
 
 @query
 def top5_side_by_side(t: Tables) -> DataFrame:
-    return compare.top5_side_by_side(t.study.ranked(t.clean), "grp")
+    return compare.top5_side_by_side(t.ranked, "grp")
 
 
 @query
 def topk_set_changes(t: Tables) -> DataFrame:
-    return compare.topk_set_changes(t.study.ranked(t.clean), "grp")
+    return compare.topk_set_changes(t.ranked, "grp")
 
 
 @query
 def rank_moves(t: Tables) -> DataFrame:
-    return compare.rank_moves(t.study.ranked(t.clean), "grp")
+    return compare.rank_moves(t.ranked, "grp")
 
 
 @query
 def spearman(t: Tables) -> DataFrame:
-    found = compare.spearman(t.study.ranked(t.clean), "rank_by_rate", "rank_by_count")
+    found = compare.spearman(t.ranked, "rank_by_rate", "rank_by_count")
     return rounded(found, 9, "rho", "p_value")
 
 
@@ -457,7 +536,7 @@ def ownership_split(t: Tables) -> DataFrame:
 @query
 def subset_share_and_rate(t: Tables) -> DataFrame:
     return composition.subset_share_and_rate(
-        t.study.ownership(t.clean), LIM.scope_all_label, OWNER_SUBSET, OWNER_REST, t.study.overall(t.clean)
+        t.study.ownership(t.clean), LIM.scope_all_label, OWNER_SUBSET, OWNER_REST, t.overall
     )
 
 
@@ -638,17 +717,17 @@ def count_model(t: Tables) -> DataFrame:
 
 @query
 def doubling_share(t: Tables) -> DataFrame:
-    shared = models.doubling_share(t.study.fit(t.clean), t.study.overall(t.clean))
+    shared = models.doubling_share(t.study.fit(t.clean), t.overall)
     return rounded(shared, 7, "change_per_doubling", "pct_of_overall")
 
 
 @query
 def model_stats(t: Tables) -> DataFrame:
-    stats = t.study.model_stats(t.clean, t.study.cube(t.clean))
+    stats = t.study.model_stats(t.clean, t.cube, t.ranked)
     return rounded(stats, 7, "value").select("statistic", "value")
 
 
 @query
 def chart_feeds(t: Tables) -> DataFrame:
-    ranked, bands, top = t.study.ranked(t.clean), t.study.bands(t.clean), t.study.top_regions(t.clean)
-    return shown(cube.chart_feeds(ranked, bands, top, "grp", "region_grp"), "other_rank")
+    top = rates.state_top10(t.regions, R.region, LIM.min_n)
+    return shown(cube.chart_feeds(t.ranked, t.bands, top, "grp", "region_grp"), "other_rank")

@@ -138,8 +138,9 @@ class Study:
         size = F.log(F.col(self.roles.workers).cast("double"))
         return count_model.count_model(clean, "recordable_cases", size, self.roles.exposure, self.roles.group)
 
-    def model_stats(self, clean: DataFrame, cube_table: DataFrame) -> DataFrame:
-        agreement = compare.spearman(self.ranked(clean), "rank_by_rate", "rank_by_count")
+    def model_stats(self, clean: DataFrame, cube_table: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+        ranked = self.ranked(clean) if ranked is None else ranked
+        agreement = compare.spearman(ranked, "rank_by_rate", "rank_by_count")
         gradient = cube.gradient_summary(self.shape(cube_table), self.roles.group)
         return models.model_stats(agreement, self.fit(clean), gradient)
 
