@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.session import land
+from ratewright.session import Steps
 
 #: A score counts as zero below this share of the sum of its absolute terms.
 TOLERANCE = 1e-10
@@ -70,14 +70,14 @@ class Fit:
     n_groups: int
 
 
-def fit_poisson(rows: DataFrame) -> Fit | None:
+def fit_poisson(rows: DataFrame, steps: Steps) -> Fit | None:
     """Newton's steps for the slope. A group's constant has a closed form, log(cases / s0), so it
     is put in place and the slope is the only unknown. A group without cases says nothing about the slope and
     is left out. None if no group has both cases and different x."""
     slope = 0.0
     mean = F.col("s1") / F.col("s0")
     for _ in range(STEPS):
-        sums = land(_poisson_sums(rows, slope), "poisson-sums")
+        sums = steps.land(_poisson_sums(rows, slope))
         r = sums.agg(
             F.sum(F.col("xy") - F.col("cases") * mean).alias("score"),
             F.sum(F.col("cases") * (F.col("s2") / F.col("s0") - mean * mean)).alias("information"),
@@ -141,7 +141,7 @@ def _excess(rows: DataFrame, fit: Fit) -> tuple[float, float]:
     return r["pearson"], r["square"] / r["excess"] if r["excess"] > 0 else math.inf
 
 
-def fit_negative_binomial(rows: DataFrame, start: Fit, size: float) -> tuple[Fit, float, float]:
+def fit_negative_binomial(rows: DataFrame, start: Fit, size: float, steps: Steps) -> tuple[Fit, float, float]:
     """Maximum likelihood of slope, constants and size (variance mu + mu^2 / size).
 
     A step is one aggregate by group: scores and information of the constants and the slope, whose
@@ -180,7 +180,7 @@ def fit_negative_binomial(rows: DataFrame, start: Fit, size: float) -> tuple[Fit
                 F.sum((y - mu) * (y - mu) / (mu * spread)).alias("pearson"),
             )
         )
-        sums = land(sums, "negative-binomial-sums")
+        sums = steps.land(sums)
         r = sums.agg(
             F.sum(F.col("ux") - F.col("ix") * F.col("u") / F.col("i")).alias("score"),
             F.sum(F.col("ixx") - F.col("ix") * F.col("ix") / F.col("i")).alias("observed"),
@@ -234,7 +234,8 @@ def count_model(
             2.0**fit.slope, dispersion, pearson / free if free > 0 else None, fit.score,
         )
 
-    poisson = fit_poisson(rows)
+    steps = Steps(spark, "count-model")
+    poisson = fit_poisson(rows, steps)
     if poisson is None:
         return spark.createDataFrame([(m, *[None] * 10) for m in ("poisson", "negative binomial")], SCHEMA)
     pearson, size = _excess(rows, poisson)
@@ -242,6 +243,7 @@ def count_model(
     if math.isinf(size):
         out.append(row("negative binomial", poisson, 0.0, pearson))
     else:
-        fit, size, left = fit_negative_binomial(rows, poisson, size)
+        fit, size, left = fit_negative_binomial(rows, poisson, size, steps)
         out.append(row("negative binomial", fit, 1.0 / size, left))
+    steps.close()
     return spark.createDataFrame(out, SCHEMA)

@@ -19,8 +19,8 @@ from ratewright.plans.study import (
     WITHHELD_COLUMNS,
     Study,
 )
-from ratewright.session import land
 from ratewright.sources import contract, files
+from ratewright.sources.tables import replace_table
 
 
 def establishment_study(spark: SparkSession, lookup_path: str | None = None) -> Study:
@@ -119,20 +119,21 @@ def publish(
     expected_rows: int | None = None,
     expect_single_submissions: bool = False,
 ) -> dict[str, str]:
-    """Run everything; returns the path of each table written.
+    """Run everything; returns the path of each table written. Raw, staged and clean rows are
+    replaced at once (``sources.tables.read_table`` reads them), so a run that stops leaves those of the run before.
 
     Stops before any result if the file has not ``expected_rows`` rows, or if units were to
     submit once (``expect_single_submissions``) and one did not.
     """
     study = establishment_study(spark, lookup_path)
-    raw = land(load_raw(spark, raw_path, quoted_newlines), "raw", f"{out}/raw")
+    raw = replace_table(load_raw(spark, raw_path, quoted_newlines), f"{out}/raw")
     if expected_rows is not None:
         loaded(raw, expected_rows).write.format("noop").mode("overwrite").save()
-    staged = land(study.stage(raw), "staged", f"{out}/staged")
+    staged = replace_table(study.stage(raw), f"{out}/staged")
     if expect_single_submissions:
         submitted_once(staged).write.format("noop").mode("overwrite").save()
     accounted(staged, raw, study).write.format("noop").mode("overwrite").save()
-    clean = land(study.clean(staged), "clean", f"{out}/clean")
+    clean = replace_table(study.clean(staged), f"{out}/clean")
 
     written = {}
     for name, (table, order) in results(study, raw, staged, clean).items():

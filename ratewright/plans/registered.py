@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.functions import many_ranks
-from ratewright.operators import audit, compare, composition, cube, late, lattice, models, profile, rates, rules
+from ratewright.operators import audit, compare, composition, cube, late, lattice, models, profile, rates, rules, sketch_cube
 from ratewright.plans.study import ORDER_LINE_LIMITS, ORDER_LINE_ROLES, Study
 from ratewright.session import land, new_shared_path
-from ratewright.sources import catalog, files, records
+from ratewright.sources import catalog, files, records, tables
 from ratewright.sources.observations import (
     OBSERVATION_SCHEMA,
     observations,
@@ -629,6 +629,24 @@ def late_winners(t: Tables) -> DataFrame:
     return _folded(t).winners.select("unit_id", "period", "filed_txt", "part_id", "supp_id", "quantity")
 
 
+SPREAD = {"median": 0.5, "p90": 0.9}
+
+
+@query
+def sketch_accuracy(t: Tables) -> DataFrame:
+    """Distinct parts and quantiles of exposure, rolled up from cells, against the exact ones."""
+    cells = land(sketch_cube.sketch_cells(t.clean, CELLS, "part_id", "exposure"), "sketch-cells")
+    return sketch_cube.sketch_accuracy(t.clean, cells, "grp", "part_id", "exposure", SPREAD)
+
+
+@query
+def replaced_table(t: Tables) -> DataFrame:
+    """The cube of one region, replaced by the whole cube, as a reader then finds it."""
+    path = new_shared_path(t.spark, "replaced")
+    tables.replace_table(t.cube.filter(F.col("region_grp") == LIM.target_region), path)
+    return tables.replace_table(t.cube, path)
+
+
 @query
 def sector_size_rates(t: Tables) -> DataFrame:
     return cube.sector_size_rates(t.study.cube(t.clean), "grp")

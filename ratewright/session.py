@@ -43,9 +43,33 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ratewright/{label}-{uuid.uuid4().hex}"
 
 
-def land(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def land(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table and read it back: later plans start from the table."""
     spark = df.sparkSession
-    path = path or new_shared_path(spark, label)
+    path = new_shared_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Tables of an iteration: each step's is landed, and the one before the last is removed, as only
+    the newest is read on."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, []
+
+    def land(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_shared_path(self.spark, self.label))
+        df.write.parquet(self.paths[-1])
+        if len(self.paths) > 2:
+            self._remove(self.paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def close(self) -> None:
+        """Remove what is left, once nothing lazy reads it."""
+        while self.paths:
+            self._remove(self.paths.pop())
+
+    def _remove(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
