@@ -218,7 +218,7 @@ def global_order(docs: DataFrame) -> Order:
     )
     whole = Order.place(np.array([(1 << 64) - 1], np.uint64), 0)[0] + 1
     shared, frequent = (np.zeros((whole >> grain) // 8, np.uint8) for grain in (SHARED_GRAIN, FREQUENT_GRAIN))
-    for row in counted.toLocalIterator():
+    for row in counted.collect():  # of a fixed size, and one job
         start = np.array([row["part"] << (64 - part_bits)], np.uint64)
         for bits, grain, blob in ((shared, SHARED_GRAIN, row["shared"]), (frequent, FREQUENT_GRAIN, row["frequent"])):
             at = Order.place(start, grain)[0] // 8
@@ -507,6 +507,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
         "classes",
     )
     linked = linked_classes(docs, rows, classes, order)
+    order.unpersist()  # the components are landed
     return rows.join(linked, ["s1", "s2"], "left").select(
         "doc_id",
         "text_key",
