@@ -67,15 +67,32 @@ CHANGES = {
 }
 
 
-@pytest.mark.parametrize("name", CHANGES)
-def test_one_batch(spark, study, name):
-    winners, cube = folded(spark, study, [FIRST, CHANGES[name]])
-    whole, cube_of_all = recomputed(spark, study, FIRST + CHANGES[name])
-    columns = winners.columns
-    assert cells(winners) == cells(whole.select(*columns))
+UNIT = RAW_SCHEMA.fieldNames().index("establishment_id")
+
+
+def of_case(name, rows):
+    """The rows with units of the case's own; those without a unit are in one case only."""
+    named = [(*r[:UNIT], f"{name}/{r[UNIT]}", *r[UNIT + 1 :]) for r in rows if r[UNIT] is not None]
+    return named + ([r for r in rows if r[UNIT] is None] if name == "without a unit" else [])
+
+
+def test_one_batch(spark, study):
+    """Every change at once, each on units of its own."""
+    first = [r for name in CHANGES for r in of_case(name, FIRST)]
+    batch = [r for name, rows in CHANGES.items() for r in of_case(name, rows)]
+    winners, cube = folded(spark, study, [first, batch])
+    whole, cube_of_all = recomputed(spark, study, first + batch)
+    assert cells(winners) == cells(whole.select(*winners.columns))
     assert cells(cube.select(*cube_of_all.columns)) == cells(cube_of_all)
 
 
+def test_last_of_a_cell_and_an_empty_batch(spark, study):
+    moved = [row(13, establishment_id="E", created_timestamp="3/1/2026")]
+    only = [row(5, establishment_id="E", state="VT"), row(1, establishment_id="A")]
+    winners, cube = folded(spark, study, [only, [], moved])
+    assert {r["state"] for r in cube.collect()} == {"ME"} and winners.count() == 2
+
+
 def test_several_batches(spark, study):
     rows = [values for values, _ in EDGES.values()]
     batches = [FIRST, [r for change in CHANGES.values() for r in change][:6], rows]
