@@ -258,6 +258,36 @@ def record_structure_quoted(t: Tables) -> DataFrame:
     return found.select("n_fields", "n_records", "n_suspect")
 
 
+def _torn_file(t: Tables) -> str:
+    """Rows as comma-separated lines under a header a file; every seventh quantity is cut in two,
+    inside the field that its last digit names, and comes once more uncut."""
+    columns = t.raw.columns
+    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    k = (F.col("quantity") % 10 + 1).cast("int")
+    fields = F.split("text", ",", -1)
+    cut = F.length(F.array_join(F.slice(fields, F.lit(1), k), ",")) + 2  # behind a separator
+    lines = F.when(
+        F.col("quantity") % 7 == 0, F.array(F.substring("text", F.lit(1), cut - 1), F.expr("substring(text, cut)"), "text")
+    ).otherwise(F.array("text"))
+    # the first row of a task's file comes behind the header
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    header = F.when(first, F.array(F.lit(",".join(columns)))).otherwise(F.array().cast("array<string>"))
+    numbered = t.raw.select("quantity", text.alias("text")).withColumns({"cut": cut, "header": header})
+    path = new_shared_path(t.spark, "torn-lines")
+    numbered.select(F.explode(F.concat("header", lines)).alias("value")).write.text(path)
+    return path
+
+
+@query
+def torn_pairs(t: Tables) -> DataFrame:
+    found = records.torn_pairs(records.records(t.spark, _torn_file(t)), len(t.raw.columns))
+    return found.groupBy("left_fields", "right_fields").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count_if(F.col("right_line") == F.col("left_line") + 1).alias("n_adjacent"),
+        F.count_if("sure").alias("n_sure"),
+    )
+
+
 @query
 def inspection_sample(t: Tables) -> DataFrame:
     sample = files.inspection_sample(t.raw, IDENTITY, 10)

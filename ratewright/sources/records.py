@@ -128,3 +128,31 @@ def suspect_records(found: DataFrame) -> DataFrame:
     return found.filter(F.col("empty_first") | F.col("empty_last")).select(
         "file", "record", "first_line", "n_fields", "empty_first", "empty_last"
     )
+
+
+def torn_pairs(found: DataFrame, expected: int) -> DataFrame:
+    """Halves of records that a line break cut in two: neighbouring records of ``records`` that are
+    both too short and together have ``expected`` fields, or one more where the break fell inside a
+    field. File, both first lines and field counts, and whether the pair is ``sure``: no half of it
+    fits another neighbour too. Nothing is repaired.
+
+    Only short records are compared, each with the record of the next number, wherever in the file
+    a task's share ends.
+    """
+    short = found.filter(F.col("n_fields") < expected).select("file", "record", "first_line", "n_fields")
+    left = short.select(
+        "file", "record", F.col("first_line").alias("left_line"), F.col("n_fields").alias("left_fields")
+    )
+    right = short.select(
+        "file",
+        (F.col("record") - 1).alias("record"),
+        F.col("first_line").alias("right_line"),
+        F.col("n_fields").alias("right_fields"),
+    )
+    together = F.col("left_fields") + F.col("right_fields")
+    pairs = left.join(right, ["file", "record"]).filter(together.isin(expected, expected + 1))
+    # a half in two pairs: the pair before or after shares a record with this one
+    beside = pairs.select("file", F.explode(F.array(F.col("record") - 1, F.col("record") + 1)).alias("record")).distinct()
+    return pairs.join(beside.withColumn("_beside", F.lit(True)), ["file", "record"], "left").select(
+        "file", "left_line", "right_line", "left_fields", "right_fields", F.col("_beside").isNull().alias("sure")
+    )

@@ -168,3 +168,20 @@ def test_moved_column_stops_the_load(spark, raw_csv, tmp_path):
     files.write_csv(moved, str(tmp_path / "moved"))
     with pytest.raises(Exception, match="(?i)header does not conform"):
         load_raw(spark, str(tmp_path / "moved")).collect()
+
+
+def test_torn_pairs(spark, tmp_path):
+    lines = ["a,b,c,d", "1,2,3,4", "1,2", "3,4", "1,2,3,4", "1,2,x", "y,4", '"1', '1",2', "3,4", "1,2,3,4", "9,9,9",
+             "1,2,3,4", "1,2", "3,4", "5,6", "7,8"]
+    (tmp_path / "torn.csv").write_text("\n".join(lines) + "\n")
+    found = records.torn_pairs(records.records(spark, str(tmp_path / "torn.csv")), 4)
+    got = sorted((r["left_line"], r["right_line"], r["left_fields"], r["right_fields"], r["sure"]) for r in found.collect())
+    assert got == [
+        (3, 4, 2, 2, True),
+        (6, 7, 3, 2, False),  # cut inside a field; its second half also fits the record after
+        (7, 8, 2, 2, False),
+        (8, 10, 2, 2, False),  # the left half is of two lines
+        (14, 15, 2, 2, False),
+        (15, 16, 2, 2, False),
+        (16, 17, 2, 2, False),
+    ]
