@@ -23,6 +23,9 @@ THRESHOLD = 0.9
 TILE = 4096
 #: Rows of one product that are held at a time.
 STRIP = 512
+#: Components up to which sums of products of int8 are whole numbers below 2 ** 24, which float32 holds
+#: exactly; longer vectors are multiplied in float64.
+EXACT_IN_FLOAT32 = (1 << 24) // 127**2
 #: Covers the rounding of the double-precision arithmetic that the bounds are made with.
 SLACK = 1e-9
 
@@ -40,10 +43,11 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterat
     qx, sx, ex, _ = quantised(x)
     qy, sy, ey, ny = (qx, sx, ex, _) if same else quantised(y)
     # x.y = near_x.near_y + error_x.near_y + x.error_y, and x has length 1
-    right = qy.astype(np.float32).T  # sums of products of int8 are exact in float32 below 2 ** 24
+    kind = np.float32 if x.shape[1] <= EXACT_IN_FLOAT32 else np.float64
+    right = qy.astype(kind).T
     for start in range(0, len(x), STRIP):
         rows = slice(start, start + STRIP)
-        product = qx[rows].astype(np.float32) @ right
+        product = qx[rows].astype(kind) @ right
         # bound: sx sy product + ex ny + ey >= threshold, kept as a limit for each column and row
         bound = product * sx[rows, None].astype(np.float32) * sy.astype(np.float32)
         bound += (ex[rows, None] * ny).astype(np.float32)

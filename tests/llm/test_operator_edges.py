@@ -277,3 +277,17 @@ def test_places_follow_the_hash():
         assert (np.diff(places) >= 0).all() and places[0] == 0
         first, last = ngram_join.Order.place(edges[1:3], grain)
         assert last == first + 1 == (1 << ngram_join.MAP_BITS) >> grain
+
+
+def test_long_vectors_are_multiplied_exactly():
+    """Pairs just at the threshold, in more dimensions than float32 sums hold."""
+    rng = np.random.default_rng(9)
+    size = 20_000
+    x = rng.choice([-1.0, 1.0], (24, size)) + rng.normal(0, 0.01, (24, size))
+    y = x + rng.normal(0, 0.48, x.shape)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    cosine = x @ y.T
+    threshold = float(np.median(np.diag(cosine)))
+    found = {(int(i), int(j)) for a, b in embedding_dedup.linked(x, y, threshold, False) for i, j in zip(a, b)}
+    exact = np.einsum("ik,jk->ij", x, y)
+    assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(exact >= threshold))} and found
