@@ -20,6 +20,49 @@ roots AS (
   SELECT n AS a, LEAST(n, COALESCE(MIN(b), n)) AS root FROM {nodes} LEFT JOIN reach ON reach.a = n GROUP BY n)"""
 
 
+_BUCKETS = 8
+
+
+def _bucket_step(k: int) -> str:
+    """The least padding of the j shortest lengths in k buckets, and where the last one starts."""
+    return f"""least{k} AS MATERIALIZED (
+  SELECT j, best.cost AS cost, best.i AS i FROM (
+    SELECT q.j, MIN({{'cost': p.cost + q.x * (q.upto - s.upto) - (q.mass - s.mass), 'i': p.j}}) AS best
+    FROM least{k - 1} p JOIN sums s ON s.j = p.j JOIN sums q ON q.j > p.j GROUP BY q.j))"""
+
+
+OP1 = (
+    """WITH lengths AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words
+  FROM documents),
+pieces AS MATERIALIZED (
+  SELECT doc_id, piece, LEAST(2048, words - piece * 2048) AS n_words
+  FROM lengths, unnest(range(0, GREATEST(1, (words + 2047) // 2048))) AS t(piece)),
+histogram AS (SELECT n_words AS x, COUNT(*) AS c FROM pieces GROUP BY n_words),
+sums AS MATERIALIZED (
+  SELECT 0::BIGINT AS j, 0::BIGINT AS x, 0::HUGEINT AS upto, 0::HUGEINT AS mass
+  UNION ALL SELECT row_number() OVER (ORDER BY x), x, SUM(c) OVER (ORDER BY x), SUM(c * x) OVER (ORDER BY x) FROM histogram),
+least0 AS (SELECT 0::BIGINT AS j, 0::HUGEINT AS cost),
+"""
+    + ",\n".join(_bucket_step(k) for k in range(1, _BUCKETS + 1))
+    + f""",
+end{_BUCKETS} AS (SELECT MAX(j) AS j FROM sums),
+"""
+    + ",\n".join(
+        f"end{k - 1} AS (SELECT i AS j FROM least{k} WHERE j = (SELECT j FROM end{k}))" for k in range(_BUCKETS, 1, -1)
+    )
+    + """,
+ends AS MATERIALIZED (SELECT x FROM sums WHERE j IN ("""
+    + " UNION ALL ".join(f"SELECT j FROM end{k}" for k in range(1, _BUCKETS + 1))
+    + """)),
+placed AS (
+  SELECT doc_id, piece, n_words, (SELECT MIN(x) FROM ends WHERE x >= n_words) AS bucket_length FROM pieces)
+SELECT doc_id, piece, n_words, bucket_length,
+       (row_number() OVER (PARTITION BY bucket_length ORDER BY md5(concat(COALESCE(doc_id::VARCHAR, 'null'), '#', piece)),
+          doc_id NULLS FIRST, piece, n_words) - 1) // GREATEST(1, 16384 // GREATEST(1, bucket_length)) AS batch
+FROM placed"""
+)
+
 # Words of items and documents; every run of as many words as some window has is looked up.
 OP2 = f"""WITH item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array({_lower('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
@@ -59,6 +102,34 @@ fits AS (
 SELECT p.page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN fits ON fits.page_id = p.page_id"""
 
+# Sets that are alike share one of their rarest words; the rest is plain counting.
+OP4 = """WITH lines AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(
+           string_split(replace(replace(lower(parts[i]), chr(9), ' '), chr(13), ' '), ' '), lambda w: w <> ''))) AS words
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+       unnest(range(1, len(parts) + 1)) AS t(i)),
+sets AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, words, n, first FROM (
+    SELECT words, len(words) AS n, MIN({'d': doc_id, 'l': line_no}) AS first FROM lines WHERE len(words) > 0 GROUP BY words)),
+held AS MATERIALIZED (SELECT id, n, unnest(words) AS word FROM sets),
+ranked AS (
+  SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY times, word) AS place
+  FROM held JOIN (SELECT word, COUNT(*) AS times FROM held GROUP BY word) USING (word)),
+rare AS MATERIALIZED (SELECT id, n, word FROM ranked WHERE place <= n - (4 * n + 4) // 5 + 1),
+alike AS MATERIALIZED (
+  SELECT p.id AS a, q.id AS b FROM (
+    SELECT DISTINCT p.id AS i, q.id AS j FROM rare p JOIN rare q ON p.word = q.word AND p.id <> q.id
+    WHERE 5 * LEAST(p.n, q.n) >= 4 * GREATEST(p.n, q.n)) JOIN sets p ON p.id = i JOIN sets q ON q.id = j
+  WHERE 9 * len(list_intersect(p.words, q.words)) >= 4 * (p.n + q.n)
+  UNION ALL SELECT id, id FROM sets),
+earliest AS (SELECT p.words, MIN(q.first) AS first FROM alike JOIN sets p ON p.id = a JOIN sets q ON q.id = b GROUP BY p.words),
+gone AS (
+  SELECT doc_id, COUNT(*) AS n_removed, sha256(string_agg(line_no::VARCHAR, ',' ORDER BY line_no)) AS removed_sha256
+  FROM lines JOIN earliest USING (words) WHERE {'d': doc_id, 'l': line_no} > first GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, COALESCE(n_removed, 0) AS n_removed,
+       COALESCE(removed_sha256, sha256('')) AS removed_sha256
+FROM documents d LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+
 OP6 = """WITH bodies AS (
   SELECT page_id, COALESCE(html, '') AS body, strlen(COALESCE(html, '')) AS payload_bytes FROM pages),
 originals AS (SELECT body, MAX(page_id) AS original FROM bodies WHERE payload_bytes >= 1000 GROUP BY body)
@@ -140,8 +211,10 @@ SELECT f.word, decode(form) AS form, (SELECT arg_max(here, step) FROM chain WHER
 FROM forms f"""
 
 ORACLE: dict[str, str] = {
+    "op1_packing": OP1,
     "op2_decontamination": OP2,
     "op3_url_filters": OP3,
+    "op4_line_dedup": OP4,
     "op6_warc": OP6,
     "op9_embedding_dedup": OP9,
     "op10_ngram_join": OP10,
