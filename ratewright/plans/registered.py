@@ -502,7 +502,7 @@ def rank_moves(t: Tables) -> DataFrame:
 
 @query
 def spearman(t: Tables) -> DataFrame:
-    found = compare.spearman(t.ranked, "rank_by_rate", "rank_by_count")
+    found = compare.spearman(t.study.ranked(t.clean), "rank_by_rate", "rank_by_count")
     return rounded(found, 9, "rho", "p_value")
 
 
@@ -771,11 +771,11 @@ def doubling_share(t: Tables) -> DataFrame:
 
 @query
 def model_stats(t: Tables) -> DataFrame:
-    stats = t.study.model_stats(t.clean, t.cube, t.ranked)
+    stats = t.study.model_stats(t.clean, t.cube)
     return rounded(stats, 7, "value").select("statistic", "value")
 
 
 @query
 def chart_feeds(t: Tables) -> DataFrame:
-    top = rates.state_top10(t.regions, R.region, LIM.min_n)
-    return shown(cube.chart_feeds(t.ranked, t.bands, top, "grp", "region_grp"), "other_rank")
+    ranked, bands, top = t.study.ranked(t.clean), t.study.bands(t.clean), t.study.top_regions(t.clean)
+    return shown(cube.chart_feeds(ranked, bands, top, "grp", "region_grp"), "other_rank")
