@@ -20,16 +20,24 @@ _JUMPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
 def large_groups(
-    df: DataFrame, keys: Sequence[str], slices: int = SLICES, floor: int = FLOOR
+    df: DataFrame,
+    keys: Sequence[str],
+    slices: int = SLICES,
+    floor: int = FLOOR,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Groups above ``floor`` rows that hold over ``2 / slices`` of the table.
 
     At most ``slices / 2`` groups can be that large, whatever the data, so the result
     is always small enough to broadcast. Columns: the keys and ``_step``, the rows
-    between two cuts.
+    between two cuts. ``sizes`` may give the keys' ``_rows`` where they are counted already;
+    keys of one row need not be among them.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    whole = sizes.agg(F.sum("_rows").alias("_whole"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        whole = sizes.agg(F.sum("_rows").alias("_whole"))
+    else:
+        whole = df.agg(F.count(F.lit(1)).alias("_whole"))
     share = F.col("_rows").cast("double") * slices
     step = F.greatest(F.floor(F.col("_whole") / slices), F.lit(max(1, floor // 8)))
     return (
@@ -145,13 +153,15 @@ def rows_having_key(
     wanted: DataFrame,
     slices: int = SLICES,
     floor: int = FLOOR,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows whose keys are in ``wanted``; rows with a NULL key never match.
+    """Rows whose keys are in ``wanted``; rows with a NULL key never match. ``sizes`` as in
+    ``large_groups``.
 
     Rows of large groups are matched against the few large keys where they lie; only
     the rest is shuffled.
     """
-    large = large_groups(df, keys, slices, floor).select(*keys).dropna()
+    large = large_groups(df, keys, slices, floor, sizes).select(*keys).dropna()
     heavy = df.join(
         F.broadcast(large.join(wanted, list(keys), "left_semi")), list(keys), "left_semi"
     )

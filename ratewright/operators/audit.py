@@ -12,6 +12,7 @@ from ratewright.functions.frames import rows_from, with_total
 from ratewright.functions.ranking import rows_having_key
 from ratewright.functions.ratios import percent
 from ratewright.functions.values import as_filed_time
+from ratewright.session import land
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_drilldown(df: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Every row of the duplicated keys. As with IN, a NULL key matches nothing."""
-    repeated = df.groupBy(*keys).count().filter(F.col("count") > 1).select(*keys)
-    return rows_having_key(df.select(*dict.fromkeys([*keys, *keep])), keys, repeated)
+    """Every row of the duplicated keys. As with IN, a NULL key matches nothing. Keys are counted once,
+    when this is called; the counts of the repeated ones also tell which are large."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = land(counted.filter(F.col("_rows") > 1), "repeated-keys")
+    rows = df.select(*dict.fromkeys([*keys, *keep]))
+    return rows_having_key(rows, keys, repeated.select(*keys), sizes=repeated)
 
 
 def ratio_bands(

@@ -44,6 +44,9 @@ def test_key_matching_equals_a_semi_join(skewed):
     plain = skewed.join(wanted, "k", "left_semi")
     split = rows_having_key(skewed, ["k"], wanted, slices=16, floor=100)
     assert split.exceptAll(plain).count() == 0 and split.count() == plain.count()
+    counted = skewed.groupBy("k").agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    again = rows_having_key(skewed, ["k"], wanted, slices=16, floor=100, sizes=counted)
+    assert again.exceptAll(plain).count() == 0 and again.count() == plain.count()
 
 
 @pytest.mark.parametrize("most", [30, 4_000_000])
