@@ -13,6 +13,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_without_a_large_group_move_the_rows_once(spark):
+    rows = [(1, "a", 3), (1, "a", 5), (1, None, 5), (1, None, 7), (2, "a", None), (2, "a", 1)]
+    df = spark.createDataFrame(rows, "unit int, period string, filed int")
+    found = numbered_in_group(df, ["unit", "period"], [F.col("filed")], "place")
+    assert plan(found).count("Exchange") == 1 and "Generate" not in plan(found)
+    assert {(r["unit"], r["period"], r["filed"], r["place"]) for r in found.collect()} == {
+        (1, "a", 5, 1), (1, "a", 3, 2), (1, None, 7, 1), (1, None, 5, 2), (2, "a", 1, 1), (2, "a", None, 2),
+    }
+
+
 def test_landed_tables_are_zstd(spark):
     land(spark.range(10).toDF("id"), "zstd-probe")
     found = glob.glob(f"{shared_dir(spark).removeprefix('file:')}/ratewright/zstd-probe-*/*.parquet")
