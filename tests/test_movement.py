@@ -27,3 +27,35 @@ def test_landed_tables_are_zstd(spark):
     land(spark.range(10).toDF("id"), "zstd-probe")
     found = glob.glob(f"{shared_dir(spark).removeprefix('file:')}/ratewright/zstd-probe-*/*.parquet")
     assert found and all(name.endswith(".zstd.parquet") for name in found)
+
+
+def test_records_of_one_line_are_neither_sorted_nor_moved(spark, tmp_path):
+    path = str(tmp_path / "plain.csv")
+    spark.range(1000).select(F.concat_ws(",", "id", F.lit("x"), F.lit(""))).coalesce(2).write.text(path)
+    found = records.records(spark, path)
+    assert not any(step in plan(found) for step in ("Window", "Sort", "hashpartitioning"))
+    assert found.groupBy("n_fields", "n_lines", "empty_last").count().collect()[0]["count"] == 998
+
+
+def test_running_counts_cross_batches_blocks_and_files(spark, tmp_path):
+    """Records of two lines, cut by small batches and blocks, in two files."""
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", "w") as f:
+            f.write("h1,h2\n" + "".join(f'{i},"left\n\nright, {i}"\n{i},\n\n' for i in range(300)))
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = records.records(spark, str(tmp_path / "*.csv")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 1200
+    by_file = {}
+    for r in found:
+        by_file.setdefault(r["file"], []).append(r)
+    for rows in by_file.values():
+        rows.sort(key=lambda r: r["record"])
+        assert [r["first_line"] for r in rows] == [at for i in range(300) for at in (2 + 5 * i, 5 + 5 * i)]
+        assert {(r["n_lines"], r["n_fields"], r["empty_last"]) for r in rows} == {(3, 2, False), (1, 2, True)}
