@@ -59,3 +59,10 @@ def test_running_counts_cross_batches_blocks_and_files(spark, tmp_path):
         rows.sort(key=lambda r: r["record"])
         assert [r["first_line"] for r in rows] == [at for i in range(300) for at in (2 + 5 * i, 5 + 5 * i)]
         assert {(r["n_lines"], r["n_fields"], r["empty_last"]) for r in rows} == {(3, 2, False), (1, 2, True)}
+
+
+def test_compressed_export_reads_back(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "cast(id % 3 as string) grp")
+    files.write_export(df, str(tmp_path / "out"), ["grp"], ["id"], compression="gzip")
+    assert glob.glob(str(tmp_path / "out/*.csv.gz"))
+    assert sorted(files.read_csv(spark, str(tmp_path / "out"), df.schema).collect()) == sorted(df.collect())
