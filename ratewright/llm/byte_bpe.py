@@ -12,7 +12,8 @@ import numpy as np
 
 from ratewright.llm.token_counts import byte_alphabet
 
-#: Pieces whose ids a worker remembers at a time, and the longest it remembers.
+#: New pieces after which a worker forgets those it has not met since as many before, and the
+#: longest it remembers.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
 
 #: Characters on whose classes every Unicode version and pattern library agrees: ASCII's printable
@@ -53,6 +54,7 @@ class ByteBpe:
             and cut.get("add_prefix_space") is False
         )
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -64,11 +66,13 @@ class ByteBpe:
         return out
 
     def of_piece(self, piece: str) -> bytes:
-        word = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = array.array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            word = piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = array.array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
