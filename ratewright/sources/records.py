@@ -1,19 +1,13 @@
 """Record structure of a CSV file, read as text: an independent look at what the loader saw.
 
 A quoted field may hold line breaks, so a line is not yet a record, and whether a line
-starts inside quotes depends on every quote before it. Each scan block counts its lines
-and quotes as they are read; running totals over these few block rows then tell every block
-where it stands. Lines are neither sorted nor moved, and only those of records that take
-several lines are put together by a shuffle.
+starts inside quotes depends on every quote before it. Each scan block reports its lines
+and quotes; running totals over these few block rows then tell every block where it
+stands. No task reads more than one block of text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,120 +39,99 @@ def _line_facts(text: Column) -> Column:
     )
 
 
-_NUMBERED = "file string, block long, value string, odd int, nth long, odd_above long, even_upto long"
-
-
-def _lines(spark: SparkSession, path: str, text: Column) -> DataFrame:
-    """Lines as they lie in their block, with running counts from its start: lines, lines of an odd
-    number of quotes above, lines above which the quotes are even in number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lines, odds, evens = None, 0, 0, 0
-        for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            file, block = batch.column(0), batch.column(1).to_numpy()
-            odd = batch.column(3).to_numpy().astype(np.int64)
-            names = pc.dictionary_encode(file).indices.to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero((np.diff(block) != 0) | (np.diff(names) != 0)) + 1
-            nth, above, upto = (np.empty(rows, np.int64) for _ in range(3))
-            for low, high in zip([0, *starts], [*starts, rows]):
-                here = (file[int(low)].as_py(), int(block[low]))
-                if here != at:
-                    at, lines, odds, evens = here, 0, 0, 0
-                nth[low:high] = lines + np.arange(1, high - low + 1)
-                above[low:high] = odds + np.cumsum(odd[low:high]) - odd[low:high]
-                upto[low:high] = evens + np.cumsum(above[low:high] % 2 == 0)
-                lines, odds, evens = int(nth[high - 1]), int(above[high - 1] + odd[high - 1]), int(upto[high - 1])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nth), pa.array(above), pa.array(upto)],
-                names=["file", "block", "value", "odd", "nth", "odd_above", "even_upto"],
-            )
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    text = F.col("value")
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.pmod(_count_of(text, '"'), F.lit(2)).alias("odd"),
+        (text == "").alias("bare"),
+        _line_facts(text).alias("from_outside"),
+        _line_facts(F.concat(F.lit('"'), text)).alias("from_inside"),
+    )
+
 
+def _of_one_line(lines: DataFrame) -> DataFrame:
+    """``records`` of a file whose quotes are even in number on every line. A block's lines lie
+    together in one task, so a line's number in it is its distance from the first."""
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy(*_BLOCK)
+        .agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
+        .withColumn("lines_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .select(*_BLOCK, "first_at", "lines_before")
+    )
+    line = F.col("lines_before") + F.col("at") - F.col("first_at") + 1
     return (
-        spark.read.text(path)
+        lines.join(F.broadcast(blocks), _BLOCK)
+        .withColumn("line", line)
+        .filter(~F.col("bare") & (F.col("line") > 1))
         .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            text.alias("value"),
-            F.pmod(_count_of(F.col("value"), '"'), F.lit(2)).cast("int").alias("odd"),
+            "file",
+            F.col("line").alias("record"),
+            F.col("line").alias("first_line"),
+            F.lit(1).cast("bigint").alias("n_lines"),
+            (F.col("from_outside.commas") + 1).alias("n_fields"),
+            F.col("from_outside.empty_first").alias("empty_first"),
+            F.col("from_outside.empty_last").alias("empty_last"),
         )
-        .mapInArrow(run, _NUMBERED)
     )
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per scan block: its file's number, lines and records before it, and whether it
-    starts inside quotes. ``any_odd`` tells whether any line holds an odd number of quotes."""
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record after the header: file, record number, first line, lines, fields,
+    and whether the first or last field is empty. Bare lines are no records."""
+    read = _lines(spark, path)
+    if read.filter("odd = 1").isEmpty():
+        return _of_one_line(read)
+    in_block = W.partitionBy(*_BLOCK).orderBy("at")
+    lines = (
+        read.withColumn(
+            "odd_above",
+            F.coalesce(
+                F.sum("odd").over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+            ),
+        )
+        .withColumn("even", 1 - F.pmod("odd_above", F.lit(2)))
+        .withColumn("nth", F.row_number().over(in_block))
+        .withColumn("even_upto", F.sum("even").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
+    )
     # A line opens a record when the quotes before it are even in number.
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    counted = (
-        _lines(spark, path, F.lit(""))
-        .groupBy(*_BLOCK)
+    blocks = (
+        lines.groupBy(*_BLOCK)
         .agg(
-            F.max("nth").alias("n_lines"),
+            F.count(F.lit(1)).alias("n_lines"),
             F.sum("odd").alias("n_odd"),
-            F.max("even_upto").alias("n_even"),
+            F.sum("even").alias("n_even"),
         )
-    )
-    return land(
-        counted.withColumn("lines_before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
+        .withColumn("lines_before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
         .withColumn("flipped", F.pmod(F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)), F.lit(2)))
         .withColumn(
             "n_opens",
-            F.when(F.col("flipped") == 0, F.col("n_even")).otherwise(F.col("n_lines") - F.col("n_even")),
+            F.when(F.col("flipped") == 0, F.col("n_even")).otherwise(
+                F.col("n_lines") - F.col("n_even")
+            ),
         )
         .withColumn("opens_before", F.coalesce(F.sum("n_opens").over(earlier), F.lit(0)))
-        .select(*_BLOCK, "lines_before", "flipped", "opens_before", (F.col("n_odd") > 0).alias("any_odd")),
-        "csv-blocks",
+        .select(*_BLOCK, "lines_before", "flipped", "opens_before")
     )
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record after the header: file, record number, first line, lines, fields,
-    and whether the first or last field is empty. Bare lines are no records."""
-    blocks = _blocks(spark, path)
-    several_lines = not blocks.filter("any_odd").isEmpty()
     inside = F.pmod(F.col("flipped") + F.col("odd_above"), F.lit(2)) == 1
     opens_upto = F.when(F.col("flipped") == 0, F.col("even_upto")).otherwise(
         F.col("nth") - F.col("even_upto")
     )
-    text = F.col("value")
-    lines = (
-        _lines(spark, path, text)
-        .join(F.broadcast(blocks), _BLOCK)
+    return (
+        lines.join(blocks, _BLOCK)
         .select(
             "file",
             (F.col("lines_before") + F.col("nth")).alias("line"),
             (F.col("opens_before") + opens_upto).alias("record"),
             inside.alias("inside"),
-            "odd",
-            "value",
-        )
-        .filter(F.col("inside") | (text != ""))
-    )
-    facts = F.when(F.col("inside"), _line_facts(F.concat(F.lit('"'), text))).otherwise(_line_facts(text))
-    # a line with no quotes open before or after it is a record of its own
-    alone = ~F.col("inside") & (F.col("odd") == 0)
-    found = (
-        lines.filter(alone & (F.col("record") > 1))
-        .withColumn("facts", _line_facts(text))
-        .select(
-            "file",
-            "record",
-            F.col("line").alias("first_line"),
-            F.lit(1).cast("bigint").alias("n_lines"),
-            (F.col("facts.commas") + 1).alias("n_fields"),
-            F.col("facts.empty_first").alias("empty_first"),
-            F.col("facts.empty_last").alias("empty_last"),
+            (F.col("bare") & ~inside).alias("bare"),
+            F.when(inside, F.col("from_inside")).otherwise(F.col("from_outside")).alias("facts"),
         )
-    )
-    if not several_lines:
-        return found
-    return found.unionByName(
-        lines.filter(~alone)
-        .withColumn("facts", facts)
+        .filter(~F.col("bare"))
         .groupBy("file", "record")
         .agg(
             F.min("line").alias("first_line"),
