@@ -27,6 +27,8 @@ from ratewright.llm.common import pieces, small, text_key
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
+#: Bytes of text of which each different word is encoded once.
+BATCH_BYTES = 8 << 20
 
 
 def encode(docs: DataFrame, vocabulary: str, end: int | None, files: int | None = None) -> DataFrame:
@@ -43,13 +45,9 @@ def encode(docs: DataFrame, vocabulary: str, end: int | None, files: int | None
 
         part, place = TaskContext.get().partitionId(), 0
         bpe = loaded(shared.value, True)
-        none = np.array([], np.int32)
-        closing = none if end is None else np.array([end], np.int32)
-        for batch in pieces(batches, 4_000_000, "text"):
-            bodies = [bpe.encode(text) if text else none for text in batch.column(1).to_pylist()]
-            ids = np.concatenate([none, *(part for body in bodies for part in (body, closing))])
-            counts = np.array([len(body) + len(closing) for body in bodies], np.int64)
-            ends = np.cumsum(counts)
+        for batch in pieces(batches, BATCH_BYTES, "text"):
+            ends, ids = bpe.encode_all(batch.column(1), end)
+            counts = np.diff(ends, prepend=0)
             rows = len(counts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -57,7 +55,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int | None, files: int | None
                     pa.array(np.full(rows, part, np.int32)),
                     pa.array(place + ends - counts),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids)),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), ids),
                 ],
                 names=["doc_id", "part", "place", "n_tokens", "ids"],
             )

@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,22 @@ def test_ids_are_the_librarys(library, special):
     library.encode_special_tokens = False
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_many_texts_encode_each_word_once(library, monkeypatch, kind):
+    texts = [t for _, t in TEXTS] + ["", None, " a", "a ", "a  b", "a \nb", "a\n b", "x\ty z", "it's 3rd, 4.5 ÿ", "'s 'll",
+             "don't. stop' 'll", "ab3 4c 5! a.b. c..", "a ª", "   ", "a b\n", "a b.\nc d"]
+    with open(A, encoding="utf-8") as f:
+        bpe = ByteBpe(f.read(), True)
+    met, of_words = [], bpe.of_words
+    monkeypatch.setattr(bpe, "of_words", lambda words: of_words(met.extend(words) or words))
+    ends, ids = bpe.encode_all(pa.array([None, *texts], kind).slice(1), 7)
+    want = [(library.encode(t, add_special_tokens=False).ids if t else []) + [7] for t in texts]
+    assert [x.tolist() for x in np.split(ids.to_numpy(), ends[:-1])] == want
+    assert len(met) == len(set(met)) and {"b\n", "3rd,", "ÿ"} < set(met)
+    assert bpe.encode_all(pa.array([None, ""], kind))[0].tolist() == [0, 0]
+    assert bpe.encode_all(pa.array([], kind), 7)[0].tolist() == []
+
+
 def test_alignment_equals_all_pairs(docs, none):
     got = rows(alignment.align_with_counts(docs, A, B).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"))
