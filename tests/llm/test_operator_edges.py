@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from ratewright.llm import (
     decontamination,
@@ -141,6 +142,18 @@ def test_line_dedup(docs, none):
     assert rows(line_dedup.removed_lines(none)) == [] and rows(line_dedup.remove(none)) == []
 
 
+def test_line_keys_tell_rare_words(spark):
+    """Words of one line come before words of two lines, with more words than a coarse count tells."""
+    lines = [" ".join([*(f"one{i}x{k}" for k in range(10)), *(f"two{i // 2}x{k}" for k in range(10))]) for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    classes = F.lit(line_dedup.bucket_classes(docs))
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    kind = {r[1][0]: r[0][:3] for r in words.select("word", line_dedup.keys_of(F.col("word"), classes)).collect()}
+    keys = [r[0] for r in docs.select(line_dedup.keys_of(F.col("text"), classes)).collect()]
+    assert {len(k) for k in keys} == {20} and len(kind) == 15_000
+    assert sum(kind[k] == "one" for some in keys for k in some[:10]) > 0.8 * 10_000
+
+
 def test_line_dedup_at_the_widths_of_sketches(spark):
     """Pairs just at and just below 0.8, with sketches of the same and of different widths."""
     texts = []
