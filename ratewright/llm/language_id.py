@@ -26,7 +26,8 @@ HASHES = 3
 #: Odd multipliers of the filter's hash functions.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 UNKNOWN = "und"
-CHUNK_BYTES = 4_000_000
+#: Texts judged at once; their words take some 20 times as much.
+CHUNK_BYTES = 1_000_000
 
 WORD = regex.compile(r"\p{L}+")
 

@@ -33,8 +33,10 @@ FREQUENT = 64
 MAP_BITS = 26
 SHARED_GRAIN, FREQUENT_GRAIN = 0, 1
 CHUNK_BYTES = 4_000_000
-FLUSH = 2_000_000
-REMEMBERED = 500_000
+#: What a worker holds at once, as executors share their memory with two or more of them: shingles
+#: that wait to be counted (some 30 bytes each while they are dealt), words and set keys remembered.
+FLUSH = 500_000
+WORDS_REMEMBERED, REMEMBERED = 100_000, 500_000
 #: Counting looks at the first 48 bits of a shingle's hash: shingles equal in these are counted
 #: together, which again only moves them in the order. Sorted bytes of one place stand together
 #: and compress.
@@ -64,7 +66,7 @@ class Shingler(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= WORDS_REMEMBERED:
             self.clear()
         self[word] = h
         return h
@@ -151,26 +153,27 @@ class Order:
         return np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
 
 
+def by_part(held: list[np.ndarray], part_bits: int) -> pa.RecordBatch:
+    """``part, shingles``: of each part of the hash range the shingles, sorted, their bytes by place."""
+    every, parts = np.sort(np.concatenate(held)), 1 << part_bits
+    cuts = np.searchsorted(every, np.arange(parts, dtype=np.uint64) << np.uint64(64 - part_bits))
+    ends = [*cuts[1:], len(every)]
+    planes = (every >> np.uint64(COUNTED_SHIFT)).view(np.uint8).reshape(-1, 8)
+    blobs = [planes[a:b, :COUNTED_BYTES].T.tobytes() for a, b in zip(cuts, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "shingles"]
+    )
+
+
 def global_order(docs: DataFrame) -> Order:
     """Count the documents of every shingle, equal sets of a task once. A part of the hash range is counted at a time; each
     gives back its slice of the two maps, 21 MiB in all whatever the input."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(16, max(6, int(np.ceil(np.log2(4 * partitions)))))
-    parts = 1 << part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size, seen = Shingler(), [], 0, set()
 
-        def flush() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(every, np.arange(parts, dtype=np.uint64) << np.uint64(64 - part_bits))
-            ends = [*cuts[1:], len(every)]
-            planes = (every >> np.uint64(COUNTED_SHIFT)).view(np.uint8).reshape(-1, 8)
-            blobs = [planes[a:b, :COUNTED_BYTES].T.tobytes() for a, b in zip(cuts, ends)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "shingles"]
-            )
-
         with np.errstate(over="ignore"):
             for batch in pieces(batches, CHUNK_BYTES, "text"):
                 for text in byte_texts(batch.column(0)):
@@ -184,10 +187,10 @@ def global_order(docs: DataFrame) -> Order:
                     held.append(shingles)
                     size += len(shingles)
                     if size >= FLUSH:
-                        yield flush()
+                        yield by_part(held, part_bits)
                         held, size = [], 0
         if size:
-            yield flush()
+            yield by_part(held, part_bits)
 
     def count(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [np.frombuffer(x.as_buffer(), np.uint8) for b in batches for x in b.column(1)]
