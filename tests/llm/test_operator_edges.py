@@ -154,6 +154,13 @@ def test_line_keys_tell_rare_words(spark):
     assert sum(kind[k] == "one" for some in keys for k in some[:10]) > 0.8 * 10_000
 
 
+def test_line_keys_hold_no_null(spark):
+    """Spark sorts a list of numbers without boxing them only if it knows that none is null."""
+    docs = spark.createDataFrame([(1, "b a c a")], "doc_id long, text string")
+    keys = docs.select(line_dedup.keys_of(F.col("text"), F.lit(line_dedup.bucket_classes(docs))).alias("keys"))
+    assert not keys.schema["keys"].dataType.containsNull and len(keys.first()[0]) == 3
+
+
 def test_line_dedup_at_the_widths_of_sketches(spark):
     """Pairs just at and just below 0.8, with sketches of the same and of different widths."""
     texts = []
